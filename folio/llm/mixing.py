@@ -30,12 +30,17 @@ def quality_weight(text: str = "text") -> Column:
     return F.when(chars > 0, 0.1 + 0.9 * letters / chars).otherwise(F.lit(0.1))
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size (words; null text 0), key. The text goes no further than this scan."""
-    d = pick(docs, doc_id=doc_id, text=text, source=source)
-    code = F.concat_ws("|", F.lit(SEED), F.col("doc_id").cast("string"))
+def measures(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """A row's size (words; null text 0) and its key."""
+    code = F.concat_ws("|", F.lit(SEED), F.col(doc_id).cast("string"))
     u = (F.conv(F.substring(F.md5(code), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return d.select("doc_id", "source", F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / quality_weight("text")).alias("key"))
+    return F.regexp_count(text_of(text), F.lit(WORD)).cast("long"), -F.log(u) / quality_weight(text)
+
+
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, size, key. The text goes no further than this scan."""
+    size, key = measures()
+    return pick(docs, doc_id=doc_id, text=text, source=source).select("doc_id", "source", size.alias("size"), key.alias("key"))
 
 
 def targets(per_source: DataFrame) -> DataFrame:
@@ -74,6 +79,43 @@ def _narrow(rows: DataFrame, plan: DataFrame, bucket: str, name: str) -> DataFra
     return p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left").select("p.*", F.col("e." + name), F.col("e.rest")).drop("left").withColumnRenamed("rest", "left")
 
 
+def make_plan(slim: DataFrame, work: Workspace) -> DataFrame:
+    """For each source of sizes(): source_size, target, epochs, the bucket (end1, end2) in which its budget ends, and what is left there."""
+    per = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = targets(per)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = plan.withColumn("epochs", epochs).withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = work.keep(plan, "targets")
+    rows = slim.withColumns({"b1": _bucket(COARSE), "b2": _bucket(FINE)})
+    plan = work.keep(_narrow(rows, plan, "b1", "end1"), "coarse")
+    r, q = rows.alias("r"), plan.alias("q")
+    inside = r.join(q, F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.b1") == F.col("q.end1"))).select("r.source", "r.size", "r.b2")
+    return work.keep(_narrow(inside, plan, "b2", "end2"), "fine")
+
+
+def take(rows: DataFrame, plan: DataFrame, whole: bool = False, doc_id: str = "doc_id", source: str = "source", size: str = "size", key: str = "key") -> DataFrame:
+    """rows with source_size, target and taken under the names _source_size, _target and _taken.
+
+    Whether a row comes before, in or after its source's last bucket shows from the row itself; only rows in it are sorted.
+    """
+    r, q = rows.alias("r"), plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns)).alias("q")
+    joined = r.join(q, F.col(f"r.`{source}`").eqNullSafe(F.col("q._source")))
+    at = F.log2(F.col(f"`{key}`"))
+    b1, b2 = F.floor(at * COARSE), F.floor(at * FINE)
+    n = F.col(f"`{size}`")
+    last = F.coalesce((b1 == F.col("_end1")) & (b2 == F.col("_end2")), F.lit(False))
+    full = F.coalesce((b1 < F.col("_end1")) | ((b1 == F.col("_end1")) & (b2 < F.col("_end2"))), F.lit(False))
+    in_order = Window.partitionBy("_source").orderBy(f"`{key}`", f"`{doc_id}`", f"`{size}`")
+    done = F.sum(n).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - n
+    left = F.col("_left") - done
+    part = F.when(left * 2 >= n, n).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(n, left))
+    columns = [*(F.col(f"r.`{c}`") for c in rows.columns), "_source_size", "_target"]
+    total = lambda extra: (F.col("_epochs") * n + extra).cast("long").alias("_taken")
+    sorted_ = joined.filter(last).withColumn("_part", part)
+    return (joined.filter(~last).select(*columns, total(F.when(full, n).otherwise(F.lit(0))))
+            .unionByName(sorted_.select(*columns, total(F.col("_part")))))
+
+
 def mix(slim: DataFrame, work: Workspace, whole: bool = False) -> DataFrame:
     """The rows of sizes() with source_size, target and taken.
 
@@ -83,32 +125,19 @@ def mix(slim: DataFrame, work: Workspace, whole: bool = False) -> DataFrame:
     Equal keys (repeated ids) are ordered by size. An empty table gives an empty result.
     """
     slim = work.keep(slim, "sizes")
-    per = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(per)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", epochs).withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    plan = work.keep(plan, "targets")
-    rows = slim.withColumns({"b1": _bucket(COARSE), "b2": _bucket(FINE)})
-    plan = work.keep(_narrow(rows, plan, "b1", "end1"), "coarse")
-
-    def with_plan(p: DataFrame) -> DataFrame:
-        r, q = rows.alias("r"), p.alias("q")
-        return r.join(q, F.col("r.source").eqNullSafe(F.col("q.source"))).select("r.*", *(F.col(f"q.{c}") for c in p.columns if c != "source"))
-
-    inside = with_plan(plan).filter(F.col("b1") == F.col("end1")).select("source", "size", "b2")
-    plan = work.keep(_narrow(inside, plan, "b2", "end2"), "fine")
-    rows = with_plan(plan)
-    last = (F.col("b1") == F.col("end1")) & (F.col("b2") == F.col("end2"))
-    last = F.coalesce(last, F.lit(False))
-    full = F.coalesce((F.col("b1") < F.col("end1")) | ((F.col("b1") == F.col("end1")) & (F.col("b2") < F.col("end2"))), F.lit(False))
-    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-    done = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    left = F.col("left") - done
-    part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left))
-    taken = lambda extra: (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken")
-    cols = ("doc_id", "source", "size", "source_size", "target")
-    return (rows.filter(~last).select(*cols, taken(F.when(full, F.col("size")).otherwise(F.lit(0))))
-            .unionByName(rows.filter(last).withColumn("part", part).select(*cols, taken(F.col("part")))))
+    out = take(slim, make_plan(slim, work), whole)
+    return out.select("doc_id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def mix_rows(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it, whole documents only; columns unchanged."""
+    plan = make_plan(work.keep(sizes(docs, doc_id, text, source), "sizes"), work)
+    size_name, key_name = fresh(docs, "_size", "_key")
+    size, key = measures(f"`{doc_id}`", f"`{text}`")
+    rows = docs.withColumns({size_name: size, key_name: key})
+    taken = take(rows, plan, True, doc_id, source, size_name, key_name).filter(F.col("_taken") > 0)
+    copies = F.explode(F.sequence(F.lit(1), (F.col("_taken") / F.col(f"`{size_name}`")).cast("int")))
+    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), copies.alias("_copy")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle_sql() -> str:

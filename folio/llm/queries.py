@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, quality_rules
+from . import jaccard_join, langid, mixing, packing, pii, quality_rules, suffix_dedup, topk, warc
 from .common import Workspace
 
 POLICY = "v2"
@@ -25,10 +25,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), Workspace(spark, "jaccard"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), POLICY)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), Workspace(spark, "suffix")).drop("kept")
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), Workspace(spark, "topk"), "vec_id % 20 = 0")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), Workspace(spark, "pack"))
 
@@ -50,8 +66,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op7_best_fit_packing, op8_language_id, op9_source_mixing, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op2_warc_round_trip, op3_ngram_jaccard_join, op4_quality_rules, op5_suffix_dedup, op6_exact_top_k, op7_best_fit_packing, op8_language_id, op9_source_mixing, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.oracle_sql(POLICY), "op9_source_mixing": mixing.oracle_sql()}
+    return {"op2_warc_round_trip": warc.oracle_sql(), "op6_exact_top_k": topk.oracle_sql(), "op4_quality_rules": quality_rules.oracle_sql(POLICY), "op9_source_mixing": mixing.oracle_sql()}
