@@ -134,7 +134,9 @@ def mix_rows(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str
     plan = make_plan(work.keep(sizes(docs, doc_id, text, source), "sizes"), work)
     size_name, key_name = fresh(docs, "_size", "_key")
     size, key = measures(f"`{doc_id}`", f"`{text}`")
-    rows = docs.withColumns({size_name: size, key_name: key})
+    # always true, but not known to be: filters stay above this projection, so that both are computed once
+    once = F.monotonically_increasing_id() >= 0
+    rows = docs.withColumns({size_name: F.when(once, size), key_name: F.when(once, key)})
     taken = take(rows, plan, True, doc_id, source, size_name, key_name).filter(F.col("_taken") > 0)
     copies = F.explode(F.sequence(F.lit(1), (F.col("_taken") / F.col(f"`{size_name}`")).cast("int")))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns), copies.alias("_copy")).select(*(F.col(f"`{c}`") for c in docs.columns))

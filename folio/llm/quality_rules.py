@@ -87,13 +87,17 @@ def measure(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str
 
 
 def failure_bits(names: dict[str, str]) -> Column:
-    """The ledger's long: bit i is set if rule i fails."""
+    """The ledger's long: bit i is set if rule i fails.
+
+    The condition, always true but not known to be, keeps a filter on the bits above the projections: pushed below them it would
+    build the arrays anew inside the lambdas, for each of their elements.
+    """
     total = F.lit(0).cast("long")
     for rule, condition in RULES.items():
         for measure_, column in names.items():
             condition = re.sub(rf"\b{measure_}\b", f"`{column}`", condition)
         total = total.bitwiseOR(F.when(F.expr(condition), F.lit(BIT[rule])).otherwise(F.lit(0)).cast("long"))
-    return total
+    return F.when(F.monotonically_increasing_id() >= 0, total)
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,8 +124,9 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
 def keep_rows(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
     """The rows of docs that the policy keeps, with their columns unchanged."""
     df, names = measure(docs, text)
-    bits = failure_bits(names)
-    return df.filter(passes(bits, tuple({*POLICIES["base"], *POLICIES[policy]}))).select(*(df[f"`{c}`"] for c in docs.columns))
+    bits = fresh(df, "_q_bits")[0]
+    df = df.withColumn(bits, failure_bits(names))
+    return df.filter(passes(F.col(f"`{bits}`"), tuple({*POLICIES["base"], *POLICIES[policy]}))).select(*(df[f"`{c}`"] for c in docs.columns))
 
 
 def ablation(book: DataFrame, policy: str) -> DataFrame:
