@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, mixing, packing, pii, quality_rules, suffix_dedup, topk, warc
+from . import jaccard_join, langid, mixing, packing, pii, quality_classifier, quality_rules, suffix_dedup, topk, warc
 from .common import Workspace
 
 POLICY = "v2"
@@ -25,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of documents: the source is the host, the language within it the path."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs, labels, Workspace(spark, "classifier"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
 
@@ -66,7 +72,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_round_trip, op3_ngram_jaccard_join, op4_quality_rules, op5_suffix_dedup, op6_exact_top_k, op7_best_fit_packing, op8_language_id, op9_source_mixing, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_warc_round_trip, op3_ngram_jaccard_join, op4_quality_rules, op5_suffix_dedup, op6_exact_top_k, op7_best_fit_packing, op8_language_id, op9_source_mixing, op10_pii_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
