@@ -33,6 +33,10 @@ LIST_COST = 16
 #: every set, by frequency, so that they seldom head a list. This orders the work only: any order gives the same links.
 LOCAL, FREQUENT = 4, 1 << 18
 _COUNT_AT = 1 << 21
+#: Lists of up to so many entries are looked through for entries that can link with no other.
+SMALL_LIST = 32
+#: Ids of texts to fetch are broadcast up to this number; beyond it they are joined by shuffle.
+BROADCAST_IDS = 1 << 21
 
 
 def least_common(n: int, m: int) -> int:
@@ -190,7 +194,7 @@ def _lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of lists with two classes or more, each class once; with the number of classes.
 
-    Reads rows sorted by token, n and cid, keeping one row: a list is passed on as it comes.
+    Reads rows sorted by token, n and cid. In lists of up to SMALL_LIST entries, those that can link with no other are left out.
     """
     names = ("token", "n", "cid", "pos")
     for x in _lists(batches, names):
@@ -203,6 +207,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(start, len(t)))
         each = np.repeat(size, size)
         on = each > 1
+        for k in range(2, min(SMALL_LIST, int(size.max(initial=0))) + 1):
+            at = start[size == k][:, None] + np.arange(k)  # lists of k entries, one a row
+            if len(at):
+                n_, p_ = x["n"].astype(np.int64)[at], x["pos"][at]
+                can = _possible(n_[:, :, None], p_[:, :, None], n_[:, None, :], p_[:, None, :]) & ~np.eye(k, dtype=bool)
+                on[at] = can.any(2)
         if on.any():
             yield _batch(token=t[on], cid=x["cid"][on], n=x["n"][on], pos=x["pos"][on], size=each[on].astype(np.int64))
 
@@ -264,9 +274,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _pair_batch(c, n, p, *(np.concatenate(z) for z in zip(*out)))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace, label: str) -> DataFrame:
     """cid, n, tokens of the wanted classes (cid, n, rep): the texts of their representatives, hashed again."""
-    text = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    ids = work.keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{label}-ids")
+    if ids.count() <= BROADCAST_IDS:  # 16 MB of ids at most; then texts need no shuffle
+        ids = F.broadcast(ids)
+    text = docs.join(ids, "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,7 +310,7 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Worksp
     pairs = work.keep(pairs.groupBy("a", "an", "b", "bn").agg(F.max("sure").alias("sure")), f"{label}-pairs")
     open_ = pairs.filter(~F.col("sure")).drop("sure")
     ends = open_.select(F.col("a").alias("cid"), F.col("an").alias("n")).unionByName(open_.select(F.col("b").alias("cid"), F.col("bn").alias("n"))).distinct()
-    sets = work.keep(_sets(docs, classes.join(ends, ["cid", "n"], "left_semi")), f"{label}-sets")
+    sets = work.keep(_sets(docs, classes.join(ends, ["cid", "n"], "left_semi"), work, label), f"{label}-sets")
     first = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("s"))
     second = sets.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("t"))
     found = open_.join(first, ["a", "an"]).join(second, ["b", "bn"]).select("a", "an", "b", "bn", "s", "t").mapInArrow(_linked, _LINK)
