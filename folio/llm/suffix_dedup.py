@@ -25,7 +25,9 @@ from .shingles import mix, powers
 
 DEPTH, GRAM = 200, 32
 #: Windows handled at once, bytes sorted at once; spans of one anchor beyond GROUP are compared window by window instead.
-_WINDOWS, _SORTED, GROUP = 1 << 16, 2 << 20, 4096
+_WINDOWS, _SORTED, GROUP = 1 << 16, 1 << 19, 1024
+#: Rows of a batch that are held as Python objects at once.
+_ROWS = 256
 _BYTE = np.random.default_rng(23).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_BITS = np.uint64((1 << 24) - 1)
 
@@ -81,6 +83,12 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, _ROWS):
+            yield b.slice(k, _ROWS)
+
+
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and where each begins, with the end."""
     texts = texts.cast(pa.large_string())
@@ -199,7 +207,7 @@ def _sort_spans(keep_first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
-        for b in batches:
+        for b in _small(batches):
             for r in b.to_pylist():
                 if r["anchor"] != last and size >= _SORTED:
                     if (out := sort(held)) is not None:
@@ -216,7 +224,7 @@ def _sort_spans(keep_first: bool):
 
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted range of (text, wanted)."""
-    for b in batches:
+    for b in _small(batches):
         out = {k: [] for k in ("anchor", "doc_id", "key", "size", "start", "n", "large", "bytes")}
         for text, wanted in zip(b.column("text"), b.column("wanted")):
             data = text.as_buffer()
@@ -225,8 +233,8 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[k].append(w[k])
                 out["bytes"].append(data[w["start"] : w["start"] + w["n"] - 1 + DEPTH].to_pybytes())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        for k in range(0, len(out["n"]), 5000):
-            yield _batch(**{name: pa.array(v[k : k + 5000], kind) for (name, v), kind in zip(out.items(), kinds)})
+        for k in range(0, len(out["n"]), 2000):
+            yield _batch(**{name: pa.array(v[k : k + 2000], kind) for (name, v), kind in zip(out.items(), kinds)})
 
 
 _SPAN = "anchor bigint, doc_id bigint, key bigint, size bigint, start bigint, n int, large boolean, bytes binary"
@@ -234,7 +242,7 @@ _SPAN = "anchor bigint, doc_id bigint, key bigint, size bigint, start bigint, n
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the spans by its hash."""
-    for b in batches:
+    for b in _small(batches):
         for r in b.to_pylist():
             data = np.frombuffer(r["bytes"], np.uint8)
             at, n = np.arange(r["n"]), r["n"]
@@ -319,7 +327,7 @@ def dedup(docs: DataFrame, work: Workspace, keep_first: bool = False, doc_id: st
     rows = texts.join(plan, ["key", "size"], "left").select("doc_id", "text", F.coalesce(gone, F.lit(False)).alias("gone"), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             size, removed, n, kept = [], [], [], []
             for text_, whole, found_ in zip(b.column("text"), b.column("gone").to_pylist(), b.column("runs").to_pylist()):
                 data = (text_.as_buffer() or pa.py_buffer(b"")).to_pybytes()
