@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, with the separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -27,6 +28,11 @@ RESUME_SECTIONS = (
 )
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside a lambda an expression would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end (trim() only takes spaces)."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
@@ -135,7 +141,7 @@ def bm25_tokens(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, which Catalyst has no function for; ASCII texts pass as they are."""
     for s in batches:
