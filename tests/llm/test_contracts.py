@@ -1,0 +1,432 @@
+"""Operators that SQL can express, against their SQL; and small tables of the hard cases for all of them."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folio.llm import components, jaccard_join, langid, mixing, packing, pii, quality_classifier, quality_rules, queries, shingles, suffix_dedup, topk, warc
+from folio.llm.common import Workspace
+
+SPACE = rb"[^\x20\x09-\x0d]+"
+HARD = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (4, " \n\t"), (5, "A B c D e f g"), (None, "x y"), (6, "word " * 3000), (7, "Ärger öffnen über"), (8, "12 34 !!")]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns whose names clash with the operators' own."""
+    rows = [(i, t, "en" if k % 2 else None, None if k % 3 else "s", 1, "x", 2.0) for k, (i, t) in enumerate(HARD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key int, size string, n double")
+
+
+@pytest.fixture(scope="module")
+def none(spark, hard):
+    return spark.createDataFrame([], hard.schema)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(name, same):
+    same(queries.queries()[name], queries.oracle_sql()[name])
+
+
+# ---- 1 quality classifier
+
+
+def test_classifier_separates_held_out_rows_and_shrinks_sparse_sites(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join(rng.choice(["river", "stone", "light", "house", "green"]) + str(rng.randint(0, 9)) for _ in range(40))
+    rows = [(i, good() + (" trash idiot" if i % 7 == 0 else "") if i % 3 else "# " * 40, f"h{i % 5}", f"p{i % 11}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0 and i % 3 > 0)) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels, Workspace(spark, "t"), F.col("host"), F.col("path")).collect()}
+    assert len(got) == 600
+    odd = [i for i in range(600) if i % 2]
+    assert sum((got[i]["quality"] >= 0.5) == (i % 3 > 0) for i in odd) / len(odd) > 0.97
+    assert sum((got[i]["toxic"] >= 0.5) == (i % 7 == 0 and i % 3 > 0) for i in odd) / len(odd) > 0.97
+
+
+def test_classifier_hard_cases(spark, hard, none):
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality_classifier.classify(hard, no_labels, Workspace(spark, "t"), F.col("source"), F.col("lang")).collect()
+    assert len(rows) == len(HARD) and all(abs(r["quality"] - 0.5) < 1e-6 for r in rows)
+    assert quality_classifier.classify(none, no_labels, Workspace(spark, "t"), F.col("source"), F.col("lang")).count() == 0
+    url = spark.createDataFrame([("HTTP://u@Ex.org:80/A/b?c",), ("x",), (None,)], "u string")
+    assert [tuple(r) for r in url.select(*quality_classifier.site_of(F.col("u"))).collect()] == [("ex.org", "a"), (None, None), (None, None)]
+
+
+# ---- 2 WARC
+
+
+def test_archive_round_trip_keeps_payloads_and_rejects_damage(spark):
+    import io
+
+    out = io.BytesIO()
+    w = warc.Writer(out)
+    payloads = [(f"<html>page {i} " + "common words " * 200).encode() for i in range(200)]
+    for i, p in enumerate(payloads):
+        w.add(warc.record(i, f"http://h/{i}", p, "response", None, hashlib.sha256(p).hexdigest()))
+    w.close()
+    data = out.getvalue()
+    assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME
+    assert [warc.parse(r)["payload"] for r in warc.records(data)] == payloads
+    with pytest.raises(warc.ArchiveError):
+        list(warc.records(data[:-3]))
+    good = warc.record(1, "u\r\nX: y", b"abc", "response", None, hashlib.sha256(b"abc").hexdigest())
+    assert warc.parse(good)["page_id"] == 1
+    for bad in (good.replace(b"abc", b"abd"), good[:-1], b"x" + good, good.replace(b"Content-Length: 3", b"Content-Length: 4"), good.replace(b"response\r\n", b"other\r\n", 1)):
+        with pytest.raises(warc.ArchiveError):
+            warc.parse(bad)
+
+
+def test_warc_hard_cases(spark):
+    same_ = "a" * 200
+    rows = [(1, "u", same_), (2, "u", same_), (3, None, None), (None, "u", same_), (4, "u", "b"), (5, "u", "b"), (1, "u", same_), (7, "v", "é\n" * 90)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages, Workspace(spark, "t")).collect())
+    assert got == [(0, "revisit", 1, 200), (1, "response", None, 200), (1, "response", None, 200), (2, "revisit", 1, 200), (3, "response", None, 0), (4, "response", None, 1), (5, "response", None, 1), (7, "response", None, 270)]
+    assert warc.round_trip(pages.limit(0), Workspace(spark, "t")).count() == 0
+
+
+# ---- 3 n-gram Jaccard join
+
+
+def shingle_sets(rows):
+    out = []
+    for _, t in rows:
+        w = re.findall(SPACE, (t or "").encode().lower())
+        k = min(5, len(w))
+        out.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
+    return out
+
+
+def brute_components(rows):
+    sets, parent, inverted = shingle_sets(rows), list(range(len(rows))), collections.defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, both in collections.Counter(j for g in x for j in inverted[g]).items():
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+        for g in x:
+            inverted[g].append(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((repr(d), len(sets[i]), repr(least.get(find(i)) if sets[i] else d)) for i, (d, _) in enumerate(rows))
+
+
+def near_rows(seed):
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(8, 80))] for _ in range(25)]
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    for i in range(150, 500):
+        w = list(rng.choice(base)) if rng.random() < 0.9 else rng.choice(base) + rng.choice(base)
+        for _ in range(rng.randint(0, 3)):
+            k, r = rng.randrange(len(w)), rng.random()
+            if r < 0.4:
+                w[k] = f"x{rng.randint(0, 50)}"
+            elif r < 0.6 and len(w) > 6:
+                del w[k : k + 3]
+            else:
+                w.append(f"t{rng.randint(0, 99)}")
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def joined(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in jaccard_join.join(df, Workspace(spark, "t")).collect())
+
+
+def test_join_is_brute_force(spark):
+    rows = near_rows(5)
+    assert joined(spark, rows) == brute_components(rows)
+
+
+def test_join_hard_cases(spark, hard, none):
+    got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in jaccard_join.join(hard, Workspace(spark, "t")).collect())
+    assert got == brute_components(HARD)
+    assert jaccard_join.join(none, Workspace(spark, "t")).count() == 0
+    kept = jaccard_join.keep_first(hard, Workspace(spark, "t"))
+    assert kept.columns == hard.columns
+    assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(map(repr, [1, 2, 3, 4, None, 6, 7, 8]))
+
+
+def test_shingles_do_not_depend_on_blocks():
+    texts = [t for _, t in HARD] + [" ".join(random.Random(i).choice("abc") for _ in range(i)) for i in range(60)] + ["é\x1fb c"]
+    whole = [s.tolist() for s in shingles.shingle_sets(pa.array(texts))]
+    assert [len(s) for s in whole] == [len(s) for s in shingle_sets([(0, t) for t in texts])]
+    block, shingles._BLOCK = shingles._BLOCK, 16
+    try:
+        assert [s.tolist() for s in shingles.shingle_sets(pa.array(texts))] == whole
+    finally:
+        shingles._BLOCK = block
+
+
+def test_boundary_and_prefix():
+    assert jaccard_join.boundary() == 9
+    for n in range(1, 60):
+        for m in range(n, 76):
+            links = [k for k in range(n + 1) if 100 * k >= 80 * (n + m - k)]
+            if links:
+                assert links[0] == jaccard_join.least_common(n, m) and jaccard_join.prefix(n) > n - links[0]
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (5, 4), (7, 7), (10, 3)] + [(20 + i, 21 + i) for i in range(30)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 4: 4, 5: 4} | {20 + i: 20 for i in range(31)}
+
+
+# ---- 4 quality rules
+
+
+def test_rules_hard_cases_and_ablation(spark, hard, none):
+    book = quality_rules.apply_policy(quality_rules.ledger(hard), "v2").collect()
+    assert len(book) == len(HARD)
+    by = {r["doc_id"]: r for r in book}
+    assert by[2]["n_words"] == by[3]["n_words"] == by[4]["n_words"] == 0 and by[2]["base_failed"] and not by[2]["kept"]
+    assert by[6]["n_words"] == 3000 and by[6]["n_repeat_words"] == 3000 and not by[6]["kept"]
+    assert quality_rules.ledger(none).count() == 0
+    texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "# $ % & | < > * a b c d e f"), (3, "one two"), (4, "# $ %")], "doc_id long, text string")
+    assert [r["doc_id"] for r in quality_rules.keep_rows(texts, "v2").collect()] == [1]
+    a = {r["rule"]: r for r in quality_rules.ablation(quality_rules.ledger(texts), "v1").collect()}
+    assert (a["few_words"]["failed"], a["few_words"]["rejected_alone"], a["few_words"]["kept_without"]) == (2, 1, 2)
+    assert (a["symbols"]["failed"], a["symbols"]["rejected_alone"], a["symbols"]["kept_without"]) == (2, 1, 2)
+
+
+# ---- 5 suffix dedup
+
+
+def brute_spans(rows, keep_first=False):
+    texts = sorted(((d is not None, d or 0), (t or "").encode()) for d, t in rows)
+    places = collections.defaultdict(list)
+    for i, (_, t) in enumerate(texts):
+        for p in range(len(t) - 199):
+            places[t[p : p + 200]].append((i, p))
+    covered = [bytearray(len(t)) for _, t in texts]
+    for v in places.values():
+        if len(v) > 1:
+            for i, p in sorted(v)[keep_first:]:
+                covered[i][p : p + 200] = b"\1" * 200
+    out = []
+    for ((known, d), t), c in zip(texts, covered):
+        kept = bytes(x for x, y in zip(t, c) if not y)
+        out.append((repr(d if known else None), len(t), sum(c), sum(1 for k in range(len(c)) if c[k] and not (k and c[k - 1])), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def passages(n):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    shared, rows = [text(rng.randint(30, 90)) for _ in range(6)], []
+    for i in range(n):
+        r = rng.random()
+        if r < 0.1 and rows:
+            rows.append((i, rows[-1][1]))
+        elif r < 0.2:
+            rows.append((i, "ab " * rng.randint(50, 200)))
+        else:
+            t = text(rng.randint(1, 60))
+            for _ in range(rng.randint(0, 3)):
+                t += rng.choice(shared)[rng.randint(0, 40) : rng.randint(150, 600)] + text(rng.randint(0, 30))
+            rows.append((i, t))
+    return [*rows, (n, text(20_000) + shared[0]), (n + 1, None), (n + 2, "")]
+
+
+@pytest.mark.parametrize("keep_first, group", [(False, 1024), (True, 1024), (False, 2), (True, 2)])
+def test_suffix_dedup_is_brute_force(spark, monkeypatch, keep_first, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rows = passages(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.dedup(df, Workspace(spark, "t"), keep_first).collect()
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_spans(rows, keep_first)
+
+
+def test_suffix_dedup_hard_cases(spark, hard, none):
+    got = suffix_dedup.dedup(hard, Workspace(spark, "t")).collect()
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == brute_spans(HARD)
+    assert suffix_dedup.dedup(none, Workspace(spark, "t")).count() == 0
+
+
+def test_suffix_order():
+    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
+    for depth in (3, 8, 12):
+        rank = suffix_dedup.suffix_classes(data, depth)
+        strings = [bytes(data[i : i + depth]).ljust(depth, b"\0") for i in range(len(data))]
+        order = sorted(set(strings))
+        assert [order.index(s) for s in strings] == rank.tolist()
+        earlier, other = suffix_dedup.previous_factor(rank, np.arange(len(data)))
+        assert earlier.tolist() == [s in strings[:i] for i, s in enumerate(strings)]
+        assert other.tolist() == [strings.count(s) > 1 for s in strings]
+
+
+# ---- 6 exact top-k
+
+
+def test_top_k_hard_cases(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
+    rows += [(200, None), (201, [1.0, None] * 4), (202, [float("nan")] * 8), (203, [0.0] * 8), (204, [float("inf")] * 8), (205, []), (206, [1.0, 2.0]), (207, rows[3][1]), (40, rows[40][1]), (220, [0.5, 0.5])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rank string")
+    ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for i, q in {(i, tuple(v)) for i, v in ok if i % 20 == 0}:
+        best = sorted((-sum(map(lambda a, b: a * b, q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:20]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    got = [tuple(r) for r in topk.top_k(df, Workspace(spark, "t"), "vec_id % 20 = 0").collect()]
+    assert sorted(got) == sorted(want)
+    assert topk.top_k(df.limit(0), Workspace(spark, "t"), "vec_id % 20 = 0").count() == 0
+
+
+def test_threshold_stops_early_and_is_exact():
+    rng = np.random.default_rng(1)
+    m = rng.integers(-3, 4, (4000, 3))
+    m[:30] *= 50
+    lists = topk.Lists(np.arange(4000), m)
+    for q in (np.array([5, 1, 0]), np.array([-2, 3, 7]), np.array([0, 0, 0])):
+        rows, scores, scored = lists.top(q, 7, 20)
+        s = m @ q
+        want = sorted((-s[i], i) for i in range(4000) if i != 7)[:20]
+        assert [(-a, b) for a, b in zip(scores, rows)] == want
+        assert not q.any() or scored < 4000
+
+
+# ---- 7 packing
+
+
+def test_tokens_are_the_tokenizers():
+    tok = packing.WordTokenizer(queries.tokenizer_path())
+    texts = ["don't I'LL we'RE 'S 's", "ÀÉ é x", "12³¼ ½a", "\x85a\xa0b\x1cc", "ΑΣ ΣΑΣ", "日本 x", "İx", "<|endoftext|> x", "", " ", "ǅ ǈ", "x̀́ b", "ß SS ẞ", "\x00a\x7f", "a\xadb", "word " * 20_000, "a" * 3000]
+    for t in texts:
+        assert np.frombuffer(tok.ids(t), "<u4").tolist() == tok.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_plan_is_gapless_and_near_the_bound():
+    rng = random.Random(3)
+    for capacity in (10, 64, 4096):
+        counts = collections.Counter(min(capacity, int(rng.expovariate(6 / capacity)) + 1) for _ in range(1500))
+        intervals, n = packing.plan(counts, capacity)
+        fill, seen = collections.defaultdict(list), collections.Counter()
+        for length, lo, ranks, first, times, offset in intervals:
+            for r in range(lo, lo + ranks):
+                fill[first + (r - lo) % times].append((offset + (r - lo) // times * length, length))
+                seen[length, r] += 1
+        assert sorted(seen) == sorted((x, r) for x, c in counts.items() for r in range(c)) and set(seen.values()) == {1}
+        for parts in fill.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(fill) == n <= -(-sum(x * c for x, c in counts.items()) // capacity) + 1
+
+
+def test_packing_hard_cases(spark, hard, none):
+    rows = packing.pack(hard, queries.tokenizer_path(), Workspace(spark, "t"), capacity=64).collect()
+    tok = packing.WordTokenizer(queries.tokenizer_path())
+    want = []
+    for d, t in HARD:
+        ids = np.append(np.frombuffer(tok.ids(t or ""), "<u4"), 1).astype("<u4")
+        want += [(repr(d), k, k * 64, len(p), zlib.crc32(p.tobytes())) for k, p in enumerate(ids[i : i + 64] for i in range(0, len(ids), 64))]
+    assert sorted((repr(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
+    assert packing.pack(none, queries.tokenizer_path(), Workspace(spark, "t")).count() == 0
+
+
+# ---- 8 language id
+
+
+def test_language_id_on_held_out_rows(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = queries.op8_language_id(spark, data).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred <> 'und'").collect()
+    assert len(got) > 20 and sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.9
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert {r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in queries.op8_language_id(spark, data).collect()} == {True}
+
+
+def test_language_id_hard_cases(spark, hard, none):
+    got = {r["doc_id"]: r for r in langid.identify(hard, hard).collect()}
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (2, 3, 4, 8)) and got[1]["lang_pred"] == "en"
+    assert {r["lang_pred"] for r in langid.identify(hard, none).collect()} == {"und"} and langid.identify(none, hard).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 37, 50])
+def test_ngram_counts(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    for text in ("Hello wörld 日本 abc " * 12, "a", "a b", " ", "1"):
+        s, want = "".join(map(chr, langid.squeeze(text))), collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(len(s) - n + 1):
+                g = s[i : i + n]
+                if g.strip() and " " not in g[1:-1]:
+                    want[g] += 1
+        k, n = langid.counted(langid.squeeze(text))
+        assert {langid.spell(int(a)): int(b) for a, b in zip(k, n) if b} == dict(want)
+
+
+# ---- 9 mixing
+
+
+def test_mixing_hard_cases(spark, hard, none):
+    rows = mixing.mix(mixing.sizes(hard), Workspace(spark, "t")).collect()
+    assert len(rows) == len(HARD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    for s in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+    assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(1.5 * sum(r["size"] for r in rows))
+    assert mixing.mix(mixing.sizes(none), Workspace(spark, "t")).count() == 0
+    assert mixing.mix_rows(hard, Workspace(spark, "t")).columns == hard.columns
+
+
+def test_water_filling(spark):
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 500)], "source string, source_size long")).collect()}
+    # weights 3, 1, 2, 3; total 2415; a and c stop at 200 and 20, null at 1000, the rest goes to b
+    assert got == {"a": 200.0, "c": 20.0, None: 1000.0, "b": pytest.approx(1195.0)}
+
+
+# ---- 10 PII
+
+
+VALUES = ["4111 1111 1111 1111", "078-05-1120", "2020-02-29", "29/02/2020", "12/31/1999", "31.12.1999", "john.doe@example.co.uk", "192.168.0.1", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "+1 (803) 555-5351", "555-123-4567", "sk_live_abcdefghij0123456789", "04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+
+
+@pytest.mark.parametrize("value", VALUES)
+def test_pseudonyms_keep_format_stay_linked_and_invert(value):
+    text = f"x {value}, and {value}."
+    new, kinds = pii.replace(text)
+    assert len(kinds) == 2 and value not in new
+    first, second = re.fullmatch(r"x (.*), and (.*)\.", new).groups()
+    assert first == second
+    if kinds[0] == "ip":
+        assert re.fullmatch(r"\d+(\.\d+){3}", first)
+    elif kinds[0] != "hex":
+        shape = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", v)))
+        assert shape(first) == shape(value)
+    assert pii.replace(new, back=True)[0] == text
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 7, 100, 1000):
+        image = [pii.permute(x, n, b"t") for x in range(n)]
+        assert sorted(image) == list(range(n)) and [pii.permute(y, n, b"t", back=True) for y in image] == list(range(n))
+
+
+def test_pii_leaves_what_does_not_validate(spark, hard, none):
+    for text in ("4111 1111 1111 1112", "999.1.1.1", "2020-13-45", "000-12-3456", "version 1.2.3", "plain", "a@b"):
+        assert pii.replace(text) == (text, [])
+    rows = pii.pseudonymize(hard).collect()
+    assert len(rows) == len(HARD) and all(r["n_values"] == 0 for r in rows) and pii.pseudonymize(none).count() == 0
+    assert pii.pseudonymize_rows(hard).columns == hard.columns
