@@ -14,7 +14,7 @@ PAGE = catalogue._PAGE
 
 
 def test_repacking_repeats_the_overlap_and_one_pass_does_not(spark):
-    a, b = " ".join(["a"] * 99) + " end.", "B" + " b" * 98 + " end."
+    a, b = " ".join(["Aa"] * 99) + " end.", " ".join(["Bb"] * 99) + " end."
     pages = spark.createDataFrame([("d", 1, False, [a, b], None)], PAGE)
     once = [r["text"] for r in chunking.prose_chunks(pages).orderBy("chunk_index").collect()]
     again = [r["text"] for r in chunking.prose_chunks_repacked(pages).orderBy("chunk_index").collect()]
@@ -34,7 +34,7 @@ def test_bm25_pads_with_zero_scores(spark):
     got = {}
     for r in ranking.bm25(q, chunks, 3).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["chunk_index"], r["score"] > 0))
-    assert got == {1: [(3, True), (0, True), (1, False)], 3: [(0, False), (1, False), (2, False)]}
+    assert got == {1: [(0, True), (3, True), (1, False)], 3: [(0, False), (1, False), (2, False)]}
 
 
 def test_fusion_arithmetic_and_ties(spark):
