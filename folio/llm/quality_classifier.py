@@ -165,7 +165,7 @@ def _same(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 
 def posteriors(scored: DataFrame, target: str) -> DataFrame:
-    """host, path, n, s, host_rate: the sums of the path, and the host's posterior rate; with the global rate and both concentrations.
+    """host, path, n, s, host_rate: the sums of the path, and the host's posterior rate; with the global rate and the paths' concentration.
 
     The concentration at a level is what a beta prior with the groups' variance would have, by the method of moments; where groups
     do not differ more than chance, it is large and groups say nothing.
@@ -173,20 +173,22 @@ def posteriors(scored: DataFrame, target: str) -> DataFrame:
     s = scored.withColumn("y", F.coalesce(F.col(f"label_{target}"), F.col(target)))
     paths = s.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    total = hosts.agg((F.sum("host_s") / F.sum("host_n")).alias("rate"))
-
-    def concentration(groups: DataFrame, n: str, rate: Column, around: Column, name: str) -> DataFrame:
-        # sum of n (rate - around)^2, less what chance gives, over sum of n: variance between groups
-        v = groups.agg(F.sum(F.col(n) * (rate - around) ** 2).alias("w"), F.count("*").alias("g"), F.sum(n).alias("n"), F.sum(around * (1 - around)).alias("c"), (F.sum(F.col(n) * around) / F.sum(n)).alias("m"))
-        between = F.greatest((F.col("w") - F.col("c")) / F.col("n"), F.lit(1e-9))
-        return v.select(F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / between - 1)).alias(name))
-
-    hosts = hosts.crossJoin(F.broadcast(total))  # one row
-    k1 = concentration(hosts, "host_n", F.col("host_s") / F.col("host_n"), F.col("rate"), "k_host")
-    hosts = hosts.crossJoin(F.broadcast(k1)).withColumn("host_rate", (F.col("host_s") + F.col("k_host") * F.col("rate")) / (F.col("host_n") + F.col("k_host")))
-    both = _same(paths, hosts.select("host", "host_rate", "rate"), "host")
-    k2 = concentration(both, "n", F.col("s") / F.col("n"), F.col("host_rate"), "k_path")
-    return both.crossJoin(F.broadcast(k2))
+    rate = hosts.agg(F.sum("host_s") / F.sum("host_n")).first()[0]
+    rate = 0.5 if rate is None else rate
+
+    def concentration(groups: DataFrame, n: str, observed: Column, around: Column) -> float:
+        # sum of n (observed - around)^2, less what chance gives, over sum of n: variance between groups
+        v = groups.agg(F.sum(F.col(n) * (observed - around) ** 2).alias("w"), F.sum(n).alias("n"), F.sum(around * (1 - around)).alias("c"), (F.sum(F.col(n) * around) / F.sum(n)).alias("m")).first()
+        if not v["n"]:
+            return 1.0
+        between = max((v["w"] - v["c"]) / v["n"], 1e-9)
+        return min(max(v["m"] * (1 - v["m"]) / between - 1, 1.0), 1e6)
+
+    k_host = concentration(hosts, "host_n", F.col("host_s") / F.col("host_n"), F.lit(rate))
+    hosts = hosts.withColumn("host_rate", (F.col("host_s") + k_host * F.lit(rate)) / (F.col("host_n") + k_host))
+    both = _same(paths, hosts.select("host", "host_rate"), "host")
+    k_path = concentration(both, "n", F.col("s") / F.col("n"), F.col("host_rate"))
+    return both.withColumns({"rate": F.lit(rate), "k_path": F.lit(k_path)})
 
 
 def classify(docs: DataFrame, labels: DataFrame, work: Workspace, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
