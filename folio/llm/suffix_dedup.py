@@ -26,6 +26,8 @@ from .shingles import mix, powers
 DEPTH, GRAM = 200, 32
 #: Windows handled at once, bytes sorted at once; spans of one anchor beyond GROUP are compared window by window instead.
 _WINDOWS, _SORTED, GROUP = 1 << 16, 1 << 19, 1024
+#: Windows in a block of a large group: those of a block are compared only if the bytes common to the block occur again.
+CORE_BLOCK = 43
 #: Rows of a batch that are held as Python objects at once.
 _ROWS = 256
 _BYTE = np.random.default_rng(23).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -240,13 +242,41 @@ def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPAN = "anchor bigint, doc_id bigint, key bigint, size bigint, start bigint, n int, large boolean, bytes binary"
 
 
+def _anchor_at(data: np.ndarray) -> int:
+    """Where the anchor of a span's first window lies, which is that of all its windows."""
+    at = np.arange(DEPTH - GRAM + 1)
+    grams = _hash(_prefix_sums(data[:DEPTH]), at, at + GRAM)
+    return int(((grams & ~_PLACE_BITS) | at.astype(np.uint64)).argmin())
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For spans of large groups, by blocks of windows: a hash of the bytes that all windows of the block have in common.
+
+    Places count from the anchor, so a window can only match one of the same block, with the same core.
+    """
+    for b in _small(batches):
+        out = []
+        for k, r in enumerate(b.to_pylist()):
+            data = np.frombuffer(r["bytes"], np.uint8)
+            a, total = _anchor_at(data), _prefix_sums(data)
+            first, last = (DEPTH - GRAM - a) // CORE_BLOCK, (DEPTH - GRAM - a + r["n"] - 1) // CORE_BLOCK
+            block = np.arange(first, last + 1)
+            lo = block * CORE_BLOCK - (DEPTH - GRAM) + a
+            hi = np.minimum(lo + CORE_BLOCK - 1, a)
+            out.append((np.full(len(block), k), block, _hash(total, hi, lo + DEPTH).view(np.int64)))
+        if out:
+            k, block, core = (np.concatenate(x) for x in zip(*out))
+            yield _batch(**{c: b.column(c).take(pa.array(k)) for c in ("anchor", "key", "size", "start")}, block=block.astype(np.int32), core=core)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the spans by its hash."""
+    """Each window of the spans' wanted blocks by its hash."""
     for b in _small(batches):
         for r in b.to_pylist():
             data = np.frombuffer(r["bytes"], np.uint8)
-            at, n = np.arange(r["n"]), r["n"]
-            h = _hash(_prefix_sums(data), at, at + DEPTH)
+            at = np.arange(r["n"])
+            at = at[np.isin((at - _anchor_at(data) + DEPTH - GRAM) // CORE_BLOCK, r["blocks"])]
+            n, h = len(at), _hash(_prefix_sums(data), at, at + DEPTH)
             yield _batch(anchor=np.full(n, r["anchor"], np.int64), window=h.view(np.int64), doc_id=pa.array([r["doc_id"]] * n, pa.int64()), key=np.full(n, r["key"], np.int64), size=np.full(n, r["size"], np.int64), at=(at + r["start"]).astype(np.int64))
 
 
@@ -285,7 +315,12 @@ def matches(texts: DataFrame, work: Workspace, keep_first: bool = False) -> Data
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     small = cut.filter(~F.col("large")).dropDuplicates(["anchor", "key", "size", "start"]).repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "key", "size", "start")
     found = small.mapInArrow(_sort_spans(keep_first), _FOUND)
-    windows = cut.filter("large").dropDuplicates(["anchor", "key", "size", "start"]).mapInArrow(_windows, "anchor bigint, window bigint, doc_id bigint, key bigint, size bigint, at bigint")
+    large = cut.filter("large").dropDuplicates(["anchor", "key", "size", "start"])
+    cores = large.mapInArrow(_cores, "anchor bigint, key bigint, size bigint, start bigint, block int, core bigint")
+    place = F.xxhash64("key", "size", "start")
+    alike = cores.groupBy("anchor", "block", "core").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q").select("anchor", "block", "core")
+    blocks = cores.join(alike, ["anchor", "block", "core"], "left_semi").groupBy("anchor", "key", "size", "start").agg(F.collect_list("block").alias("blocks"))
+    windows = large.join(blocks, ["anchor", "key", "size", "start"]).mapInArrow(_windows, "anchor bigint, window bigint, doc_id bigint, key bigint, size bigint, at bigint")
     spot = F.struct("doc_id", "key", "size", "at")
     twice = windows.groupBy("anchor", "window").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).filter("p <> q")
     large = windows.join(twice, ["anchor", "window"])
