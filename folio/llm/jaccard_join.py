@@ -274,8 +274,28 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _pair_batch(c, n, p, *(np.concatenate(z) for z in zip(*out)))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace, label: str) -> DataFrame:
-    """cid, n, tokens of the wanted classes (cid, n, rep): the texts of their representatives, hashed again."""
+def _outline(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of a power of two of buckets, about four each; up to 255."""
+    bits = max(2, (len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose outlines allow a link: no intersection exceeds the sum of the buckets' smaller counts."""
+    for b in batches:
+        keep = []
+        for s, t, n, m in zip(b.column("s"), b.column("t"), b.column("an").to_pylist(), b.column("bn").to_pylist()):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (s, t))
+            full = x.max() == 255 or y.max() == 255
+            x, y = x.astype(np.int64), y.astype(np.int64)
+            size = min(len(x), len(y))
+            x, y = x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)
+            keep.append(full or int(np.minimum(x, y).sum()) >= least_common(n, m))
+        yield _batch(a=b.column("a"), an=b.column("an"), b=b.column("b"), bn=b.column("bn")).filter(pa.array(keep, pa.bool_()))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace, label: str, outline: bool = False) -> DataFrame:
+    """cid, n, tokens (or their outline) of the wanted classes (cid, n, rep): the texts of their representatives, hashed again."""
     ids = work.keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{label}-ids")
     if ids.count() <= BROADCAST_IDS:  # 16 MB of ids at most; then texts need no shuffle
         ids = F.broadcast(ids)
@@ -284,7 +304,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace, label: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [s for s in shingle_sets(b.column(0)) if len(s)]
-            yield _batch(cid=np.array([_digest(s) for s in got], np.int64), n=np.array([len(s) for s in got], np.int32), tokens=pa.array([s.tobytes() for s in got], pa.binary()))
+            yield _batch(cid=np.array([_digest(s) for s in got], np.int64), n=np.array([len(s) for s in got], np.int32), tokens=pa.array([(_outline(s) if outline else s).tobytes() for s in got], pa.binary()))
 
     return text.mapInArrow(run, "cid bigint, n int, tokens binary").dropDuplicates(["cid", "n"])
 
@@ -309,13 +329,19 @@ def _compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, work: Worksp
     """The pairs that link: those that equal subsets make sure of, and those whose sets say so."""
     pairs = work.keep(pairs.groupBy("a", "an", "b", "bn").agg(F.max("sure").alias("sure")), f"{label}-pairs")
     open_ = pairs.filter(~F.col("sure")).drop("sure")
-    ends = open_.select(F.col("a").alias("cid"), F.col("an").alias("n")).unionByName(open_.select(F.col("b").alias("cid"), F.col("bn").alias("n"))).distinct()
-    sets = work.keep(_sets(docs, classes.join(ends, ["cid", "n"], "left_semi"), work, label), f"{label}-sets")
-    first = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("s"))
-    second = sets.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("t"))
-    found = open_.join(first, ["a", "an"]).join(second, ["b", "bn"]).select("a", "an", "b", "bn", "s", "t").mapInArrow(_linked, _LINK)
+
+    def both(rows: DataFrame, name: str, outline: bool) -> DataFrame:
+        ends = rows.select(F.col("a").alias("cid"), F.col("an").alias("n")).unionByName(rows.select(F.col("b").alias("cid"), F.col("bn").alias("n"))).distinct()
+        sets = work.keep(_sets(docs, classes.join(ends, ["cid", "n"], "left_semi"), work, name, outline), f"{name}-sets")
+        first = sets.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("tokens").alias("s"))
+        second = sets.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("tokens").alias("t"))
+        return rows.join(first, ["a", "an"]).join(second, ["b", "bn"]).select("a", "an", "b", "bn", "s", "t")
+
+    # outlines are a 32nd of the sets: most pairs go by them
+    open_ = work.keep(both(open_, f"{label}-near", True).mapInArrow(_near, _LINK), f"{label}-open")
+    found = both(open_, label, False).mapInArrow(_linked, _LINK)
     links = work.keep(found.unionByName(pairs.filter("sure").drop("sure")), f"{label}-links")
-    work.drop(f"{label}-sets", f"{label}-pairs")
+    work.drop(f"{label}-sets", f"{label}-near-sets", f"{label}-open", f"{label}-pairs")
     return links
 
 
