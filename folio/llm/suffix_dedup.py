@@ -250,7 +250,8 @@ def _anchor_at(data: np.ndarray) -> int:
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For spans of large groups, by blocks of windows: a hash of the bytes that all windows of the block have in common.
+    """For spans of large groups, by blocks of windows [lo, hi): a hash of the bytes that all windows of the block have in common,
+    and one of all bytes they cover.
 
     Places count from the anchor, so a window can only match one of the same block, with the same core.
     """
@@ -262,11 +263,16 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, last = (DEPTH - GRAM - a) // CORE_BLOCK, (DEPTH - GRAM - a + r["n"] - 1) // CORE_BLOCK
             block = np.arange(first, last + 1)
             lo = block * CORE_BLOCK - (DEPTH - GRAM) + a
-            hi = np.minimum(lo + CORE_BLOCK - 1, a)
-            out.append((np.full(len(block), k), block, _hash(total, hi, lo + DEPTH).view(np.int64)))
+            core = _hash(total, np.minimum(lo + CORE_BLOCK - 1, a), lo + DEPTH)
+            first, end = np.maximum(lo, 0), np.minimum(lo + CORE_BLOCK, r["n"])
+            whole = mix(_hash(total, first, end - 1 + DEPTH) + ((a - first) * 1024 + end - first).astype(np.uint64))
+            out.append((np.full(len(block), k), block, core.view(np.int64), whole.view(np.int64), first + r["start"], end + r["start"]))
         if out:
-            k, block, core = (np.concatenate(x) for x in zip(*out))
-            yield _batch(**{c: b.column(c).take(pa.array(k)) for c in ("anchor", "key", "size", "start")}, block=block.astype(np.int32), core=core)
+            k, block, core, whole, lo, hi = (np.concatenate(x) for x in zip(*out))
+            yield _batch(**{c: b.column(c).take(pa.array(k)) for c in ("anchor", "doc_id", "key", "size", "start")}, block=block.astype(np.int32), core=core, whole=whole, lo=lo.astype(np.int64), hi=hi.astype(np.int64))
+
+
+_CORE = "anchor bigint, doc_id bigint, key bigint, size bigint, start bigint, block int, core bigint, whole bigint, lo bigint, hi bigint"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,10 +322,15 @@ def matches(texts: DataFrame, work: Workspace, keep_first: bool = False) -> Data
     small = cut.filter(~F.col("large")).dropDuplicates(["anchor", "key", "size", "start"]).repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id", "key", "size", "start")
     found = small.mapInArrow(_sort_spans(keep_first), _FOUND)
     large = cut.filter("large").dropDuplicates(["anchor", "key", "size", "start"])
-    cores = large.mapInArrow(_cores, "anchor bigint, key bigint, size bigint, start bigint, block int, core bigint")
-    place = F.xxhash64("key", "size", "start")
-    alike = cores.groupBy("anchor", "block", "core").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q").select("anchor", "block", "core")
-    blocks = cores.join(alike, ["anchor", "block", "core"], "left_semi").groupBy("anchor", "key", "size", "start").agg(F.collect_list("block").alias("blocks"))
+    # blocks that occur whole more than once match as spans do; one of each content is compared with those of the same core
+    cores = work.keep(large.mapInArrow(_cores, _CORE), "cores")
+    contents = work.keep(cores.groupBy("anchor", "block", "core", "whole").agg(F.min(where).alias("first"), F.count("*").alias("places")), "contents")
+    settled = cores.join(contents.filter("places > 1").select("anchor", "block", "core", "whole", "first"), ["anchor", "block", "core", "whole"])
+    if keep_first:
+        settled = settled.filter(where != F.col("first"))
+    settled = settled.select("key", "size", "lo", "hi")
+    alike = contents.groupBy("anchor", "block", "core").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "block", "core")
+    blocks = contents.join(alike, ["anchor", "block", "core"], "left_semi").groupBy("anchor", "first.key", "first.size", "first.start").agg(F.collect_list("block").alias("blocks"))
     windows = large.join(blocks, ["anchor", "key", "size", "start"]).mapInArrow(_windows, "anchor bigint, window bigint, doc_id bigint, key bigint, size bigint, at bigint")
     spot = F.struct("doc_id", "key", "size", "at")
     twice = windows.groupBy("anchor", "window").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).filter("p <> q")
@@ -327,7 +338,7 @@ def matches(texts: DataFrame, work: Workspace, keep_first: bool = False) -> Data
     if keep_first:
         large = large.filter(spot != F.col("p"))
     large = large.select("key", "size", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-    return work.keep(whole.unionByName(found).unionByName(large), "found")
+    return work.keep(whole.unionByName(found).unionByName(settled).unionByName(large), "found")
 
 
 def _remove(data, runs: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
