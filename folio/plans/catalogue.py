@@ -262,11 +262,48 @@ def rerank_overlap(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
+# The SQL of the two queries above, as of two under evaluation, has one language only; those in _all have every language.
+
+def _asked(spark, d):
+    """Each query asked of each language: a query of its own, query_id and language joined by a colon."""
+    languages = _chunks(spark, d).select("document_id").filter("document_id IS NOT NULL").distinct()
+    return _queries(spark, d).crossJoin(F.broadcast(languages)).withColumn("query_id", F.concat_ws(":", "query_id", "document_id"))
+
+
+_ASKED = "b AS (SELECT item_id || ':' || lang AS query_id, lang AS document_id, item_id, text FROM benchmark CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"
+_FUSED_ALL = f"""{_BM25}, {_ASKED},
+l0 AS (SELECT query_id || ':' || document_id AS query_id, document_id, chunk_index, rank FROM bm),
+l1 AS (SELECT b.query_id, document_id, chunk_index, rank FROM b JOIN (SELECT lang AS document_id, doc_id AS chunk_index, CAST(row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS BIGINT) AS rank FROM documents) USING (document_id) WHERE rank <= 10),
+u AS (SELECT query_id, document_id, chunk_index, rank, 0 AS l FROM l0 UNION ALL SELECT query_id, document_id, chunk_index, rank, 1 FROM l1),
+f AS (SELECT query_id, document_id, chunk_index, sum(1.0::DOUBLE / (60 + rank)) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL),
+fu AS (SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, document_id, chunk_index) AS BIGINT) AS rank, score FROM f)"""
+
+
+def _fused_all(spark, d):
+    chunks, asked = _chunks(spark, d), _asked(spark, d)
+    w = ranking.Window.partitionBy("document_id").orderBy(F.desc("n"), "chunk_index")
+    longest = chunks.select("document_id", "chunk_index", F.length("text").alias("n")).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
+    by_length = longest.join(asked.select("query_id", "document_id"), "document_id")
+    return ranking.fuse([ranking.bm25(asked, chunks, 10), by_length])
+
+
+@query(f"WITH {_FUSED_ALL} SELECT query_id, document_id, chunk_index, rank, round(score, 6) AS score FROM fu WHERE rank <= 6")
+def rrf_fusion_all(spark, d):
+    return ranking.first(_fused_all(spark, d), 6).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_FUSED_ALL}, s AS (SELECT fu.query_id, fu.document_id, fu.chunk_index, fu.rank AS before, round({_OV}, 6) AS score FROM fu JOIN b q ON q.query_id = fu.query_id JOIN documents c ON c.doc_id = fu.chunk_index WHERE rank <= 6)
+SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS BIGINT) AS rank, score FROM s
+UNION ALL SELECT query_id, document_id, chunk_index, rank, round(score, 6) FROM fu WHERE rank > 6""")
+def rerank_overlap_all(spark, d):
+    out = ranking.rerank(_fused_all(spark, d), _asked(spark, d), _chunks(spark, d), keep_rest=True)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query()
 def hybrid_pipeline(spark, d):
-    """Hash embeddings and BM25 over one language, fused, reranked, three best."""
-    chunks = _chunks(spark, d).filter("document_id = 'es'")
-    return retrieval.hybrid(_queries(spark, d).withColumn("document_id", F.lit("es")), chunks)
+    """Hash embeddings and BM25 over each language, fused, reranked, three best."""
+    return retrieval.hybrid(_asked(spark, d), _chunks(spark, d))
 
 
 CHUNKS = [("d", 2, 1, "A", "", "prose", "zero two"), ("d", 3, 1, "A", "", "prose", "The rate rises with the temperature of the bath."), ("d", 4, 2, "A", "", "prose", "the temperature of the bath. It then falls."), ("d", 5, 2, "A", "", "prose", "Five."), ("d", 6, 3, "A", "", "prose", "Six."), ("d", 7, 3, "B", "", "prose", "Seven."), ("r", 0, 1, "SKILLS", "t", "resume", "Python")]
@@ -557,6 +594,35 @@ def hit_mrr_pagehit(spark, d):
     return evaluation.hit_metrics(j, _queries(spark, d).withColumn("pages", F.array(F.col("query_id") % 7)))
 
 
+_JUDGED_ALL = f"""{_BM25}, {_GOLD}, {_ASKED},
+r AS (SELECT bm.query_id || ':' || bm.document_id AS query_id, bm.chunk_index, bm.rank, gold.query_id IS NOT NULL AS rel FROM bm LEFT JOIN gold ON gold.query_id = bm.query_id AND gold.document_id = bm.document_id AND gold.chunk_index = bm.chunk_index)"""
+
+
+def _gold_all(spark, d):
+    return _gold(spark, d).withColumn("query_id", F.concat_ws(":", "query_id", "document_id"))
+
+
+@query(rf"""WITH {_JUDGED_ALL},
+g AS (SELECT query_id || ':' || document_id AS query_id, count(*) AS gold FROM gold GROUP BY 1),
+a AS (SELECT b.query_id, coalesce(any_value(gold), 0) AS gold, count(*) FILTER (rel AND rank <= 3) AS h3, count(*) FILTER (rel AND rank <= 10) AS h10, count(*) FILTER (rank <= 3) AS n3, min(rank) FILTER (rel) AS fst,
+ coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 3), 0) AS g3, coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) AS g10 FROM b LEFT JOIN r ON r.query_id = b.query_id LEFT JOIN g ON g.query_id = b.query_id GROUP BY b.query_id)
+SELECT query_id, round(CASE WHEN gold > 0 THEN h3 / CAST(gold AS DOUBLE) ELSE 0 END, 6) AS recall_3, round(CASE WHEN gold > 0 THEN h10 / CAST(gold AS DOUBLE) ELSE 0 END, 6) AS recall_10, round(CASE WHEN n3 > 0 THEN h3 / CAST(n3 AS DOUBLE) ELSE 0 END, 6) AS precision_3, round(coalesce(1.0::DOUBLE / fst, 0), 6) AS mrr,
+ round(CASE WHEN gold > 0 THEN g3 / list_sum(list_transform(range(1, least(3, gold) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_3, round(CASE WHEN gold > 0 THEN g10 / list_sum(list_transform(range(1, least(10, gold) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_10 FROM a""")
+def recall_precision_ndcg_all(spark, d):
+    asked = _asked(spark, d)
+    return evaluation.ranking_metrics(ranking.bm25(asked, _chunks(spark, d), 10), _gold_all(spark, d), asked)
+
+
+@query(f"""WITH {_JUDGED_ALL},
+a AS (SELECT b.query_id, min(rank) FILTER (rel) AS fst, coalesce(bool_or(rank <= 3 AND r.chunk_index % 7 = item_id % 7), FALSE) AS p FROM b LEFT JOIN r ON r.query_id = b.query_id GROUP BY 1)
+SELECT query_id, CAST(coalesce(fst <= 1, FALSE) AS BIGINT) AS hit_1, CAST(coalesce(fst <= 3, FALSE) AS BIGINT) AS hit_3, CAST(coalesce(fst <= 10, FALSE) AS BIGINT) AS hit_10, round(coalesce(1.0::DOUBLE / fst, 0), 6) AS mrr, CAST(p AS BIGINT) AS page_hit_3 FROM a""")
+def hit_mrr_pagehit_all(spark, d):
+    asked = _asked(spark, d)
+    j = evaluation.judged(ranking.bm25(asked, _chunks(spark, d), 10), _gold_all(spark, d)).withColumn("page", F.col("chunk_index") % 7)
+    item = F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long")
+    return evaluation.hit_metrics(j, asked.withColumn("pages", F.array(item % 7)))
+
+
 @query(f"WITH {_GOLD} SELECT item_id AS query_id, text AS phrase, 'missing from extraction' AS verdict FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM gold)")
 def evidence_coverage(spark, d):
     return evaluation.evidence_coverage(_queries(spark, d).withColumnRenamed("text", "phrase"), _chunks(spark, d).withColumn("document_id", F.col("chunk_index")))
