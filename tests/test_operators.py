@@ -60,6 +60,20 @@ def test_evidence_split_across_chunks(spark):
     assert {(r["query_id"], r["verdict"]) for r in evaluation.evidence_coverage(q, chunks).collect()} == {(1, "split across chunks"), (2, "missing from extraction")}
 
 
+def test_evidence_is_found_across_differing_word_breaks(spark):
+    phrase = "Weights are renormalized by email in the US and we don't define fine print for any of the remaining layers"
+    breaks = {"renormalized": "renorm-\nalized", "email": "e-mail", "US": "U.S.", "don't": "dont", "fine print": "\ufb01ne print"}
+    texts = [phrase, *(phrase.replace(a, b) for a, b in breaks.items())]
+    texts = ["x" * k + " " + t for k, t in enumerate(texts)]
+    # words joined everywhere, so that no run of words is left as it was; and one letter missing
+    texts += [phrase.replace(" ", ""), phrase.replace(" ", "-\n"), phrase.replace("remaining", "remainin")]
+    chunks = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "document_id string, chunk_index int, text string")
+    q = spark.createDataFrame([(1, phrase), (2, phrase.replace("fine", "\ufb01ne"))], "query_id int, phrase string")
+    got = {(r["query_id"], r["chunk_index"]) for r in evaluation.relevant_chunks(q, chunks).collect()}
+    assert got == {(n, i) for n in (1, 2) for i in range(len(texts) - 1)}
+    assert [r["query_id"] for r in evaluation.evidence_coverage(q, chunks.filter(f"chunk_index >= {len(texts) - 3}")).collect()] == []
+
+
 def test_store_appends_scans_and_looks_up(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}")
     rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "document_id string, chunk_index int, text string")
