@@ -175,7 +175,7 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("iban", r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban),
     ("key", r"(?:sk|pk|rk)[_\-](?:live|test)?[_\-]?[A-Za-z0-9]{16,64}(?![A-Za-z0-9])|AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,255}(?![A-Za-z0-9])", secret),
     ("hex", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])", secret),
-    ("date", r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/\-])(?!\.\d)", date),
+    ("date", r"(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/\-])(?!\.\d))", date),
     ("ip", r"\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d)", address),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\w\-])", ssn),
     ("card", r"\d(?:[ \-]?\d){12,18}(?![\d])", card),
@@ -183,14 +183,28 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
 )
 #: At one place the kinds are tried in turn; a value that does not validate leaves the place to the next kind.
 _AT = [(name, re.compile(p, re.ASCII), f) for name, p, f in KINDS]
+#: Kinds whose pattern can run on into the next word or number: the longest match that ends at a separator and validates is the value.
+_ON = {"card", "iban"}
 #: Where a value may begin: an address sign's word, a digit, a bracket or plus before one, or an upper-case or key prefix.
 _MAY = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@|(?<![A-Za-z0-9])(?:[0-9]|\+[0-9]|\([0-9]|[0-9a-f]{32}|[0-9A-F]{32}|[A-Z]{2}[0-9]{2}|[sprk]k[_\-]|AKIA|gh[pousr]_)", re.ASCII)
 #: A text without any of these holds nothing: every kind needs a digit or an address sign.
 _ANY = re.compile(r"[0-9@]")
 
 
+def _shorter(value: str) -> Iterator[str]:
+    """value, then what of it ends before each of its blanks and hyphens, the last one first."""
+    yield value
+    for i in range(len(value) - 1, 0, -1):
+        if value[i] in " -":
+            yield value[:i]
+
+
 def spans(text: str, key: bytes = KEY, back: bool = False) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, pseudonym) of each value, left to right, not overlapping."""
+    """(start, end, kind, pseudonym) of each value, left to right, not overlapping.
+
+    A value ends by its check digits; so where more digits or capitals follow a card number or IBAN, a longer one may validate
+    by chance (1 in 10, 1 in 97), here or in the pseudonym's text when that is inverted.
+    """
     at = 0
     while m := _ANY.search(text, at):
         # values start in the run of non-space characters that holds the digit or sign, or at a bracket or plus just before
@@ -206,8 +220,11 @@ def spans(text: str, key: bytes = KEY, back: bool = False) -> Iterator[tuple[int
         for c in _MAY.finditer(text, begin, min(len(text), stop + 1)):
             for kind, pattern, f in _AT:
                 v = pattern.match(text, c.start())
-                if v and (new := f(v.group(), key, back)) is not None:
-                    found = v.start(), v.end(), kind, new
+                for value in _shorter(v.group()) if v and kind in _ON else [v.group()] if v else []:
+                    if (new := f(value, key, back)) is not None:
+                        found = v.start(), v.start() + len(value), kind, new
+                        break
+                if found:
                     break
             if found:
                 break

@@ -418,6 +418,16 @@ def test_pseudonyms_keep_format_stay_linked_and_invert(value):
     assert pii.replace(new, back=True)[0] == text
 
 
+@pytest.mark.parametrize("value, after", [
+    ("4111 1111 1111 1111", " 12/25"), ("4111111111111111", " 123"), ("4111-1111-1111-1111", "-12"), ("4111 1111 1111 1111", " 1 2"),
+    ("AT61 1904 3002 3457 3201", " BIC"), ("AT61 1904 3002 3457 3201", " 2024"), ("DE89 3704 0044 0532 0130 00", " EUR"), ("NO93 8601 1117 947", " IBAN OK"),
+    ("1990-05-17", "T10:00:00Z"), ("1990-05-17", "T1000"), ("4111 1111 1111 1111", " exp 12/25")])
+def test_values_end_before_what_follows(value, after):
+    new, kinds = pii.replace(f"x {value}{after} y")
+    alone = pii.replace(value)[0]
+    assert len(kinds) == 1 and alone != value and new == f"x {alone}{after} y"
+
+
 def test_permutation_is_one():
     for n in (1, 2, 7, 100, 1000):
         image = [pii.permute(x, n, b"t") for x in range(n)]
