@@ -83,8 +83,10 @@ def make_plan(slim: DataFrame, work: Workspace) -> DataFrame:
     """For each source of sizes(): source_size, target, epochs, the bucket (end1, end2) in which its budget ends, and what is left there."""
     per = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("epochs", epochs).withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    # the budget is rounded first: so close below a whole epoch it is that epoch, and left is less than the source's size
+    budget = F.round("target").cast("long")
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    plan = plan.withColumn("left", budget - F.col("epochs") * F.col("source_size"))
     plan = work.keep(plan, "targets")
     rows = slim.withColumns({"b1": _bucket(COARSE), "b2": _bucket(FINE)})
     plan = work.keep(_narrow(rows, plan, "b1", "end1"), "coarse")

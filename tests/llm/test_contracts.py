@@ -397,6 +397,14 @@ def test_water_filling(spark):
     assert got == {"a": 200.0, "c": 20.0, None: 1000.0, "b": pytest.approx(1195.0)}
 
 
+def test_target_just_below_a_whole_epoch_takes_it(spark):
+    # weights 3 and 1, total 21: the target of a is 15.75, twice its 8 words less a quarter
+    docs = spark.createDataFrame([(1, "a", "one two three four five"), (2, "a", "six seven eight"), (3, "b", "one two three four five six")], "doc_id long, source string, text string")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(mixing.sizes(docs), Workspace(spark, "t")).collect()}
+    assert taken == {1: 10, 2: 6, 3: 5}
+    assert sorted(r["doc_id"] for r in mixing.mix_rows(docs, Workspace(spark, "t")).collect()) == [1, 1, 2, 2, 3]
+
+
 # ---- 10 PII
 
 
