@@ -72,7 +72,7 @@ def _digest(s: np.ndarray) -> int:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, cid, n for each document; kind 1: token, count of shingles frequent within a task."""
+    """kind 0: doc_id, cid, n, text_key for each document; kind 1: token, count of shingles frequent within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -82,7 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
             t, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             t, n = t[n >= LOCAL], n[n >= LOCAL]
             held.clear()
-            return _batch(kind=np.ones(len(t), np.int32), doc_id=pa.nulls(len(t), pa.int64()), token=t.view(np.int64), n=n.astype(np.int64))
+            return _batch(kind=np.ones(len(t), np.int32), doc_id=pa.nulls(len(t), pa.int64()), token=t.view(np.int64), n=n.astype(np.int64), text_key=pa.nulls(len(t), pa.int64()))
 
         for b in batches:
             cid, n = [], []
@@ -96,13 +96,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     seen.add(key)
                     held.append(s)
                     size += len(s)
-            yield _batch(kind=np.zeros(len(n), np.int32), doc_id=b.column(0), token=np.array(cid, np.int64), n=np.array(n, np.int64))
+            yield _batch(kind=np.zeros(len(n), np.int32), doc_id=b.column(0), token=np.array(cid, np.int64), n=np.array(n, np.int64), text_key=b.column(2))
             if size > _COUNT_AT:
                 yield frequent()
                 size = 0
         yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id bigint, token bigint, n bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "kind int, doc_id bigint, token bigint, n bigint, text_key bigint")
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -295,11 +295,17 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, work: Workspace, label: str, outline: bool = False) -> DataFrame:
-    """cid, n, tokens (or their outline) of the wanted classes (cid, n, rep): the texts of their representatives, hashed again."""
+    """cid, n, tokens (or their outline) of the wanted classes (cid, n, rep): the texts of their representatives, hashed again.
+
+    A class without any doc_id has no representative to name: for those, all texts without one are hashed.
+    """
     ids = work.keep(wanted.select(F.col("rep").alias("doc_id")).distinct(), f"{label}-ids")
-    if ids.count() <= BROADCAST_IDS:  # 16 MB of ids at most; then texts need no shuffle
+    n, nameless = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    if n <= BROADCAST_IDS:  # 16 MB of ids at most; then texts need no shuffle
         ids = F.broadcast(ids)
     text = docs.join(ids, "doc_id", "left_semi").select("text")
+    if nameless:
+        text = text.unionByName(docs.filter("doc_id IS NULL").select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -349,13 +355,18 @@ def join(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs.
 
     Null text and text without words have no shingles and link with nothing: component_id is their own doc_id. Repeated
-    rows are equal sets and so linked. A null doc_id counts for no component's smallest. An
+    rows are equal sets and so linked. A null doc_id links as others do, but counts for no component's smallest. An
     empty table gives an empty result. Texts of any length are hashed in blocks.
     """
+    return _join(docs, work, doc_id, text).drop("text_key")
+
+
+def _join(docs: DataFrame, work: Workspace, doc_id: str, text: str) -> DataFrame:
+    """join() with text_key, a hash of the row's text."""
     docs = pick(docs, doc_id=doc_id, text=text)
     spark = docs.sparkSession
     scanned = work.keep(scan(docs), "scan")
-    slim = scanned.filter("kind = 0").select("doc_id", F.col("token").alias("cid"), F.col("n").cast("int").alias("n"))
+    slim = scanned.filter("kind = 0").select("doc_id", F.col("token").alias("cid"), F.col("n").cast("int").alias("n"), "text_key")
     often = scanned.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = often.select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(np.int64).view(np.uint64)
     classes = slim.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"))
@@ -385,17 +396,19 @@ def join(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "
     named = classes.join(roots, ["cid", "n"], "left").withColumns({"root": F.coalesce("root", "cid"), "root_n": F.coalesce("root_n", "n")})
     least = named.groupBy("root", "root_n").agg(F.min("rep").alias("component_id"))
     named = work.keep(named.join(least, ["root", "root_n"]).select("cid", "n", "component_id"), "named")
-    return slim.join(named, ["cid", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return slim.join(named, ["cid", "n"], "left").select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with their columns.
 
-    Rows repeated with id and text stay once. Rows without words, and rows without an id, stay.
+    Rows repeated with id and text stay once. Where an id is repeated with several texts, each goes by its own component. Rows without words, and
+    rows without an id, stay.
     """
-    found = join(docs, work, doc_id, text)
-    named, text_key = fresh(docs, "_kept", "_text_key")
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(named)).distinct()
+    found = _join(docs, work, doc_id, text)
+    named, kept_key, text_key = fresh(docs, "_kept", "_kept_key", "_text_key")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(named), F.col("text_key").alias(kept_key)).distinct()
     own = F.col(f"`{doc_id}`")
-    rows = docs.join(kept, own == F.col(named), "left_semi").withColumn(text_key, F.xxhash64(f"`{text}`")).dropDuplicates([doc_id, text_key]).drop(text_key)
+    keyed = docs.withColumn(text_key, F.xxhash64(f"`{text}`"))
+    rows = keyed.join(kept, (own == F.col(named)) & (F.col(text_key) == F.col(kept_key)), "left_semi").dropDuplicates([doc_id, text_key]).drop(text_key)
     return rows.unionByName(docs.filter(own.isNull()))

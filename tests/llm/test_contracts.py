@@ -164,6 +164,16 @@ def test_join_hard_cases(spark, hard, none):
     assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(map(repr, [1, 2, 3, 4, None, 6, 7, 8]))
 
 
+def test_rows_without_id_link_and_repeated_ids_go_by_text(spark):
+    word = lambda *gone: " ".join(f"new{i}" if i in gone else f"w{i}" for i in range(60))
+    rows = [(1, word()), (None, word(15)), (2, word(15, 40)), (3, "other text"), (3, word(59)), (None, "only " * 5 + word(1, 2, 3, 20, 30, 50))]
+    got = joined(spark, rows)
+    assert got == brute_components(rows) and [g[2] for g in got].count("1") == 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_first(df, Workspace(spark, "t")).collect() if r["doc_id"] is not None]
+    assert sorted(kept) == [(1, word()), (3, "other text")]
+
+
 def test_shingles_do_not_depend_on_blocks():
     texts = [t for _, t in HARD] + [" ".join(random.Random(i).choice("abc") for _ in range(i)) for i in range(60)] + ["é\x1fb c"]
     whole = [s.tolist() for s in shingles.shingle_sets(pa.array(texts))]
