@@ -209,9 +209,13 @@ def _vector_queries(spark, d):
     return v.groupBy("document_id").agg(F.min_by("vector", "chunk_index").alias("vector")).withColumn("query_id", F.col("document_id"))
 
 
-def _knn_sql(score: str, order: str) -> str:
+_FIRST = "SELECT document_id AS query_id, document_id, arg_min(v, chunk_index) AS q FROM v GROUP BY document_id"
+_FIFTIETH = "SELECT chunk_index AS query_id, document_id, v AS q FROM v WHERE chunk_index % 50 = 0"
+
+
+def _knn_sql(score: str, order: str, asked: str = _FIRST) -> str:
     return f"""WITH v AS (SELECT label AS document_id, vec_id AS chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-q AS (SELECT document_id AS query_id, document_id, arg_min(v, chunk_index) AS q FROM v GROUP BY document_id),
+q AS ({asked}),
 s AS (SELECT query_id, v.document_id, chunk_index, round({score}, 6) + 0.0 AS score FROM q JOIN v USING (document_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, chunk_index) AS rank FROM s)
 SELECT query_id, document_id, chunk_index, CAST(rank AS BIGINT) AS rank, score FROM r WHERE rank <= 10"""
@@ -227,6 +231,22 @@ def knn_cosine_topk(spark, d):
     return ranking.knn(_vector_queries(spark, d), _vectors(spark, d), 10, "cosine").withColumn("score", F.col("score") + 0.0)
 
 
+# The two above ask one query for each label, as their SQL does; those in _all ask every vector whose id is divisible by 50.
+
+def _fiftieth(spark, d):
+    return _vectors(spark, d).filter("chunk_index % 50 = 0").withColumn("query_id", F.col("chunk_index"))
+
+
+@query(_knn_sql("list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "ASC", _FIFTIETH))
+def knn_l2_topk_all(spark, d):
+    return ranking.knn(_fiftieth(spark, d), _vectors(spark, d), 10).withColumn("score", F.col("score") + 0.0)
+
+
+@query(_knn_sql("list_cosine_similarity(q, v)", "DESC", _FIFTIETH))
+def knn_cosine_topk_all(spark, d):
+    return ranking.knn(_fiftieth(spark, d), _vectors(spark, d), 10, "cosine").withColumn("score", F.col("score") + 0.0)
+
+
 _OV = f"(CASE WHEN len(list_distinct({_BT.format('q.text')})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({_BT.format('q.text')}), list_distinct({_BT.format('c.text')}))) / CAST(len(list_distinct({_BT.format('q.text')})) AS DOUBLE) END)"
 _EN = "SELECT * FROM bm WHERE document_id = 'en'"
 #: A second ranking of the same rows: by length, as a stand-in.

@@ -41,3 +41,9 @@ def test_every_language_is_judged(name, spark, data):
     languages = {r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").select("lang").distinct().collect()}
     found = catalogue.QUERIES[name](spark, data).filter("mrr > 0").selectExpr("split_part(query_id, ':', 2) AS lang").distinct().collect()
     assert len({r["lang"] for r in found}) > 1 and {r["lang"] for r in found} <= languages
+
+
+@pytest.mark.parametrize("name", ["knn_l2_topk_all", "knn_cosine_topk_all"])
+def test_every_fiftieth_vector_is_asked(name, spark, data):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
+    assert ids and {r["query_id"] for r in catalogue.QUERIES[name](spark, data).collect()} == ids
