@@ -5,9 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +16,15 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, a local one (tests)."""
+    """The folder named by spark.checkpoint.dir; only where it is unset and the master is local (tests), a local one.
+
+    Executors on other machines would write to their own disks, so there a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _local:
         _local["dir"] = "file://" + tempfile.mkdtemp(prefix="folio-")
     return _local["dir"]
@@ -37,7 +40,6 @@ class Workspace:
     """Written tables in the shared folder; they cut lineage, so a lost executor
     costs only a re-read. Tables go when dropped, or when the process ends."""
 
-    _open: "weakref.WeakSet[Workspace]" = weakref.WeakSet()
     _kept: list["Workspace"] = []
 
     def __init__(self, spark: SparkSession, label: str):
@@ -94,4 +96,4 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 
-__all__ = ["WORD", "StorageLevel", "Workspace", "fresh", "pick", "shared_dir", "text_of"]
+__all__ = ["WORD", "Workspace", "fresh", "pick", "shared_dir", "text_of"]

@@ -2,14 +2,15 @@
 
 Documents become pieces (the executors tokenize; nothing but lengths and checksums leaves them). Which lengths share
 a sequence depends only on how many pieces there are of each length: a histogram of at most CAPACITY entries.
-On it the driver plans patterns: for a gap, the table of available lengths is asked for one, two or
-three lengths that fill it exactly; only where none do, the best-fitting length goes in. A pattern is used as often as
+On it the driver plans patterns: an index by sum of single lengths, pairs and triples gives what fills
+a gap exactly while the counts last; only where nothing does, the best-fitting length goes in. A pattern is used as often as
 its lengths last, so there are about as many patterns as lengths. Pieces then find their place by their
 rank within their length, from counts by (length, bucket) and a rank within the bucket.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -29,12 +30,23 @@ CACHE_WORDS, CHUNK = 200_000, 1 << 16
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: The normalizer and splitter of the file whose words are cached; any other file goes to its tokenizer whole.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordTokenizer:
-    """Ids of a text under a tokenizer file whose words never span white space, with a cache of words.
+    """Ids of a text as the file's tokenizer gives them without special tokens added, with a cache of words.
 
-    Only texts of characters below U+0250 take the cached way, where the file's normalization
-    (NFC, lower case) and splitting are reproduced exactly; any other text goes
-    to the tokenizer itself, cut at white space so that its memory stays bounded.
+    If the file normalizes and splits as KNOWN_NORMALIZER and KNOWN_SPLITTER say, its words never span white space. Then texts of characters
+    below U+0250 without the content of an added token take the cached way, where both are reproduced exactly; any other
+    text goes to the tokenizer, cut at white space so that its memory stays bounded. Of any other file each text goes to the tokenizer whole.
     """
 
     LIMIT = 0x250
@@ -43,7 +55,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.known = parts["normalizer"] == KNOWN_NORMALIZER and parts["pre_tokenizer"] == KNOWN_SPLITTER
+        self.added = [t["content"] for t in parts["added_tokens"]]
         kinds = [(chr(c), unicodedata.category(chr(c))[0]) for c in range(self.LIMIT)]
         letters, digits = ("".join(c for c, k in kinds if k == x) for x in "LN")
         space = "".join(chr(c) for c in range(self.LIMIT) if chr(c).isspace() and c not in (0x1C, 0x1D, 0x1E, 0x1F))
@@ -64,7 +79,9 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.plain(text):
+        if not self.known:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.plain(text) or any(a in text for a in self.added):
             return b"".join(np.array(self.tok.encode(part, add_special_tokens=False).ids, "<u4").tobytes() for part in chunks(text))
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return b"".join(map(self.cache.__getitem__, self.split(text.lower())))
@@ -123,6 +140,71 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), text_of("text").alias("text")).mapInArrow(cut, PIECE)
 
 
+class Sums:
+    """For each sum up to the capacity a length, a pair and a triple of lengths that make it, under availability counts.
+
+    Counts only fall, so an entry that no longer holds is searched anew when it is asked for, and a sum without one stays without.
+    """
+
+    def __init__(self, avail: np.ndarray):
+        self.avail = avail
+        size = len(avail)
+        #: By sum: the longest length of a pair, and of a triple, 0 for none. The rest of a triple is the pair of what is left.
+        self.pair, self.triple = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        have = np.flatnonzero(avail)
+        for i, a in enumerate(have):  # ascending: the last entry of a sum has the longest length
+            b = have[: i + 1][have[: i + 1] < size - a]
+            if avail[a] < 2:
+                b = b[b != a]
+            self.pair[a + b] = a
+        for a in have:
+            rest = np.flatnonzero((self.pair[: size - a] > 0) & (self.pair[: size - a] <= a))
+            self.triple[a + rest] = a
+
+    def _pair(self, total: int, left: np.ndarray, most: int) -> int:
+        """The longest length up to most of a pair with that sum, by lookup of each length's complement."""
+        a = np.arange((total + 1) // 2, min(total - 1, most) + 1)
+        ok = a[(left[a] > 0) & (left[total - a] > (a * 2 == total))]
+        return int(ok[-1]) if len(ok) else 0
+
+    def _triple(self, total: int, left: np.ndarray) -> tuple[int, ...] | None:
+        for a in np.flatnonzero(left[:total])[::-1]:
+            if 3 * a < total:
+                break
+            left[a] -= 1
+            b = self._pair(total - int(a), left, int(a)) if total - a > 1 and self.pair[total - a] else 0
+            left[a] += 1
+            if b:
+                return int(a), b, total - int(a) - b
+        return None
+
+    def fill(self, gap: int, left: np.ndarray) -> tuple[int, ...] | None:
+        """One, two or three of the lengths left that sum to gap; left: the counts less what the sequence already has."""
+        if left[gap] > 0:
+            return (gap,)
+        a = int(self.pair[gap])
+        if a:
+            if left[a] > 0 and left[gap - a] > (a * 2 == gap):
+                return a, gap - a
+            if b := self._pair(gap, left, gap):
+                return b, gap - b
+            self.pair[gap] = self._pair(gap, self.avail, gap)
+        a = int(self.triple[gap])
+        if a:
+            found = None
+            if left[a] > 0:
+                left[a] -= 1
+                b = self._pair(gap - a, left, a)
+                left[a] += 1
+                found = (a, b, gap - a - b) if b else None
+            found = found or self._triple(gap, left)
+            if found is None:
+                again = self._triple(gap, self.avail)
+                self.triple[gap] = again[0] if again else 0
+            return found
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Intervals (length, first rank, ranks, first sequence, sequences, offset), and the number of sequences.
 
@@ -132,30 +214,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     avail = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         avail[length] += n
-    used, out, sequences = np.zeros(capacity + 1, np.int64), [], 0
-
-    def exact(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-        """One, two or three available lengths that sum to gap, by lookup of the complement."""
-        if left[gap] > 0:
-            return (gap,)
-        have = np.flatnonzero(left[1:gap] > 0) + 1
-        if not len(have):
-            return None
-        a = have[have * 2 >= gap]
-        ok = a[(left[gap - a] > 0) & ((a * 2 != gap) | (left[a] > 1))]
-        if len(ok):
-            return int(ok[-1]), gap - int(ok[-1])
-        for a in have[::-1]:
-            if 3 * a < gap:
-                break
-            rest = gap - int(a)
-            b = have[(have <= a) & (have * 2 >= rest) & (have < rest)]
-            c = rest - b
-            ok = b[(left[c] > 0) & (left[b] >= 1 + (b == a) + (b == c) + ((b == a) & (c == a))) & (left[a] >= 1 + (b == a) + (c == a)) & (left[c] >= 1 + (c == b) + (c == a))]
-            if len(ok):
-                return int(a), int(ok[-1]), rest - int(ok[-1])
-        return None
-
+    used, out, sequences, sums = np.zeros(capacity + 1, np.int64), [], 0, Sums(avail)
     top = capacity
     while True:
         while top and not avail[top]:
@@ -165,7 +224,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
         left, pattern, gap = avail.copy(), [top], capacity - top
         left[top] -= 1
         while gap:
-            fill = exact(gap, left)
+            fill = sums.fill(gap, left)
             if fill is None:
                 fits = np.flatnonzero(left[1 : gap + 1] > 0)
                 if not len(fits):

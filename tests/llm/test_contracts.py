@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -319,10 +320,42 @@ def test_threshold_stops_early_and_is_exact():
 
 
 def test_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
     tok = packing.WordTokenizer(queries.tokenizer_path())
-    texts = ["don't I'LL we'RE 'S 's", "ÀÉ é x", "12³¼ ½a", "\x85a\xa0b\x1cc", "ΑΣ ΣΑΣ", "日本 x", "İx", "<|endoftext|> x", "", " ", "ǅ ǈ", "x̀́ b", "ß SS ẞ", "\x00a\x7f", "a\xadb", "word " * 20_000, "a" * 3000]
+    assert tok.known
+    texts = ["don't I'LL we'RE 'S 's", "ÀÉ é x", "12³¼ ½a", "\x85a\xa0b\x1cc", "ΑΣ ΣΑΣ", "日本 x", "İx", "<|endoftext|> x", "hello <|endoftext|> world", "a<|startoftext|>b", "<|ENDOFTEXT|>", "word " * 20_000 + "<|endoftext|>", "", " ", "ǅ ǈ", "x̀́ b", "ß SS ẞ", "\x00a\x7f", "a\xadb", "word " * 20_000, "a" * 3000]
     for t in texts:
-        assert np.frombuffer(tok.ids(t), "<u4").tolist() == tok.tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(tok.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_another_file_goes_to_its_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not tok.known
+    for t in ("Hello  World's", "", "a b" * 100, "é <|endoftext|> x"):
+        assert np.frombuffer(tok.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sums_are_found_while_counts_last(seed):
+    rng = random.Random(seed)
+    avail = np.zeros(41, np.int64)
+    for _ in range(rng.randint(1, 12)):
+        avail[rng.randint(1, 40)] += rng.randint(1, 2)
+    sums = packing.Sums(avail)
+    while avail.any():
+        for gap in range(1, 41):
+            pieces = [x for x in range(1, 41) for _ in range(avail[x])]
+            can = any(sum(c) == gap for k in (1, 2, 3) for c in set(itertools.combinations(pieces, k)))
+            found = sums.fill(gap, avail.copy())
+            assert (found is not None) == can
+            assert found is None or (sum(found) == gap and all(avail[x] >= found.count(x) for x in found))
+        avail[rng.choice(np.flatnonzero(avail).tolist())] -= 1
 
 
 def test_plan_is_gapless_and_near_the_bound():
