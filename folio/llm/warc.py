@@ -1,7 +1,8 @@
 """WARC archives in Zstandard: one frame for each record, with a dictionary in the leading skippable frame.
 
-Each task writes an archive of its rows into a folder that all executors see; the dictionary is trained on the first records of
-that archive. Reading takes the dictionary from the archive itself, decodes frame by frame and checks each record's headers,
+Each task writes archives of its rows into a folder that all executors see; the dictionary comes from the first records of
+that archive. What a task attempt wrote counts only once Spark has committed that attempt's list of archives: the listed ones then move to
+the folder that is read, so attempts that died or ran twice leave nothing behind. Reading takes the dictionary from the archive itself, decodes frame by frame and checks each record's headers,
 lengths and digest; anything that does not hold raises ArchiveError.
 """
 
@@ -123,15 +124,12 @@ class Writer:
             self._frame(data)
 
     def _begin(self) -> None:
-        dictionary = None
         try:
-            if len(self.sample) >= 16:
-                dictionary = zstandard.train_dictionary(min(DICTIONARY, self.size // 8), self.sample)
-        except zstandard.ZstdError:  # too little to learn from: an archive without a dictionary is valid as well
-            dictionary = None
-        if dictionary is not None:
-            body = dictionary.as_bytes()
-            self._put(struct.pack("<II", DICTIONARY_FRAME, len(body)) + body)
+            dictionary = zstandard.train_dictionary(min(DICTIONARY, self.size // 8), self.sample)
+        except (zstandard.ZstdError, ValueError):  # too few records to learn from: their own bytes serve as one
+            dictionary = zstandard.ZstdCompressionDict(b"".join(self.sample)[-DICTIONARY:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        body = dictionary.as_bytes()
+        self._put(struct.pack("<II", DICTIONARY_FRAME, len(body)) + body)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True, write_checksum=True)
         for data in self.waiting:
             self._frame(data)
@@ -182,19 +180,32 @@ def records(archive: bytes) -> Iterator[bytes]:
         yield data
 
 
-def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+#: Digests of payloads that occur again are broadcast up to this number (at most 64 MB); beyond it they are joined by shuffle.
+BROADCAST_DIGESTS = 1 << 20
+
+
+def plan(pages: DataFrame, work: Workspace, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, html, digest, first: what is to be written; first is the page that a revisit refers to, else null.
 
-    Only payloads that occur again meet in a join, by their digest; digests are counted before they are shuffled.
+    What occurs again shows from digests alone, counted before they are shuffled. Payloads stay where they are read, unless more
+    than BROADCAST_DIGESTS digests occur again. Rows without an id refer to one that has an id; null html is an empty payload.
     """
-    rows = pick(pages, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long"), "url", text_of("html").alias("html"), F.sha2(text_of("html"), 256).alias("digest"))
-    again = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
+    rows = pick(pages, page_id=page_id, url=url, html=html)
+    rows = rows.select(F.col("page_id").cast("long"), "url", text_of("html").alias("html"), F.unhex(F.sha2(text_of("html"), 256)).alias("digest"))
+    long_ = rows.filter(F.octet_length("html") >= REVISIT_BYTES).select("digest", "page_id")
+    again = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
+    again = work.keep(again, "again")
+    if again.count() <= BROADCAST_DIGESTS:
+        again = F.broadcast(again)
     first = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
-    return rows.join(again, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"))
+    return rows.join(again, "digest", "left").select("page_id", "url", "html", F.lower(F.hex("digest")).alias("digest"), first.alias("first"))
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives and returns archive, records, bytes. A task that runs again replaces its own archives."""
+    """Writes archives into folder and returns archive, records, bytes of each. Names hold the task attempt, so no attempt touches another's.
+
+    The folder's scheme must be one that pyarrow knows (file, hdfs, s3, gs, abfs). No rows: no archives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -205,14 +216,13 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
         def end():
             writer.close()
             out.close()
-            fs.move(f"{base}/_{context.taskAttemptId()}-{name}", f"{base}/{name}")
             done.append((name, writer.n, writer.written))
 
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "first"))):
                 if writer is None:
-                    name = f"part-{context.partitionId():05}-{len(done):04}.warc.zst"
-                    out = fs.open_output_stream(f"{base}/_{context.taskAttemptId()}-{name}", compression=None)
+                    name = f"part-{context.partitionId():05}-{context.taskAttemptId()}-{len(done):04}.warc.zst"
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     writer = Writer(out)
                 page, url, html, digest, first = r
                 writer.add(record(page, url, html.encode("utf-8", "surrogatepass"), "response" if first is None else "revisit", first, digest))
@@ -227,8 +237,30 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "archive string, records bigint, bytes bigint")
 
 
+def publish(written: DataFrame, folder: str, final: str) -> DataFrame:
+    """Moves the archives that written (a committed table) lists from folder to final; returns archive. A task that runs again finds them moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        to = pyarrow.fs.FileSystem.from_uri(final)[1]
+        fs.create_dir(to)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                try:
+                    fs.move(f"{base}/{name}", f"{to}/{name}")
+                except OSError:
+                    if fs.get_file_info(f"{to}/{name}").type != pyarrow.fs.FileType.File:
+                        raise
+            yield b.select(["archive"])
+
+    return written.select("archive").mapInArrow(run, "archive string")
+
+
 def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """A row for each record of the folder's archives, validated; with payloads if asked for."""
+    """A row for each record of the folder's archives, validated; with payloads if asked for.
+
+    A record, a length, a digest or a frame that does not hold raises ArchiveError, which names the archive.
+    """
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *([("payload", pa.binary())] if payload else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +296,8 @@ def round_trip(pages: DataFrame, work: Workspace, page_id: str = "page_id", url:
     An empty table gives an empty result.
     """
     spark, folder = pages.sparkSession, work.file("archives")
-    written = work.keep(write(plan(pages, page_id, url, html), folder), "written").agg(F.sum("records")).first()[0]
-    if not written:
+    written = work.keep(write(plan(pages, work, page_id, url, html), work.file("attempts")), "written")
+    if not publish(written, work.file("attempts"), folder).count():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string")
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 

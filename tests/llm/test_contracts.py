@@ -93,6 +93,39 @@ def test_warc_hard_cases(spark):
     got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages, Workspace(spark, "t")).collect())
     assert got == [(0, "revisit", 1, 200), (1, "response", None, 200), (1, "response", None, 200), (2, "revisit", 1, 200), (3, "response", None, 0), (4, "response", None, 1), (5, "response", None, 1), (7, "response", None, 270)]
     assert warc.round_trip(pages.limit(0), Workspace(spark, "t")).count() == 0
+    assert warc.plan(pages.limit(0), Workspace(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_every_archive_has_its_dictionary(n):
+    import io
+
+    out = io.BytesIO()
+    w = warc.Writer(out)
+    for i in range(n):
+        w.add(warc.record(i, "u", b"x" * i, "response", None, hashlib.sha256(b"x" * i).hexdigest()))
+    w.close()
+    assert int.from_bytes(out.getvalue()[:4], "little") == warc.DICTIONARY_FRAME
+    assert [warc.parse(r)["payload_bytes"] for r in warc.records(out.getvalue())] == list(range(n))
+
+
+def test_archives_of_lost_attempts_are_not_read(spark):
+    work = Workspace(spark, "t")
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(50)], "page_id long, url string, html string").repartition(3)
+    rows = warc.plan(pages, work)
+    folder, final = work.file("attempts"), work.file("archives")
+    warc.write(rows, folder).collect()  # an attempt whose list was never committed
+    written = work.keep(warc.write(rows, folder), "written")
+    warc.publish(written, folder, final).collect()
+    warc.publish(written, folder, final).collect()  # moved already
+    assert sorted(r["page_id"] for r in warc.read(spark, final).collect()) == list(range(50))
+    many, warc.BROADCAST_DIGESTS = warc.BROADCAST_DIGESTS, -1
+    try:
+        twice = pages.unionByName(pages.selectExpr("page_id + 100 as page_id", "url", "html"))
+        got = warc.round_trip(twice, Workspace(spark, "t")).collect()
+        assert sorted((r["page_id"], r["refers_to"]) for r in got) == [(i, None) for i in range(50)] + [(i + 100, i) for i in range(50)]
+    finally:
+        warc.BROADCAST_DIGESTS = many
 
 
 # ---- 3 n-gram Jaccard join
@@ -303,17 +336,35 @@ def test_top_k_hard_cases(spark):
     assert topk.top_k(df.limit(0), Workspace(spark, "t"), "vec_id % 20 = 0").count() == 0
 
 
-def test_threshold_stops_early_and_is_exact():
+@pytest.mark.parametrize("head", [1024, 600])
+def test_threshold_stops_early_and_is_exact(monkeypatch, head):
+    monkeypatch.setattr(topk, "HEAD", head)
     rng = np.random.default_rng(1)
-    m = rng.integers(-3, 4, (4000, 3))
-    m[:30] *= 50
+    m = rng.integers(-1000, 1001, (4000, 3))
     lists = topk.Lists(np.arange(4000), m)
-    for q in (np.array([5, 1, 0]), np.array([-2, 3, 7]), np.array([0, 0, 0])):
-        rows, scores, scored = lists.top(q, 7, 20)
-        s = m @ q
-        want = sorted((-s[i], i) for i in range(4000) if i != 7)[:20]
-        assert [(-a, b) for a, b in zip(scores, rows)] == want
-        assert not q.any() or scored < 4000
+    queries_ = np.array([[5, 1, 0], [-2, 3, 7], [0, 0, 0], [1 << 40, 0, -1]])
+    for q in (queries_, queries_[:1]):
+        own = np.array([7, 8, 9, 10])[: len(q)]
+        who, rows, scores, scored = lists.top(own, q, 20)
+        for i in range(len(q)):
+            s = m @ q[i]
+            want = sorted((-s[j], j) for j in range(4000) if j != own[i])[:20]
+            assert [(-a, b) for a, b in zip(scores[who == i], rows[who == i])] == want
+    assert scored < 2000  # the last: one query, read only as far as its bound
+
+
+def test_matrix_and_reading_agree(monkeypatch):
+    rng = np.random.default_rng(2)
+    for dims, few in ((2, 4), (6, 1 << 30), (16, 4), (16, 1 << 30)):
+        monkeypatch.setattr(topk, "FEW", few)
+        m = np.floor(rng.normal(0, 20, (3000, dims))).astype(np.int64)
+        ids = np.sort(rng.integers(0, 2500, 3000))
+        q, own = m[:40], ids[:40]
+        who, rows, scores, _ = topk.Lists(ids, m).top(own, q, 5)
+        for i in range(40):
+            s = m @ q[i]
+            want = sorted((-s[j], ids[j]) for j in range(3000) if ids[j] != own[i])[:5]
+            assert [(-a, ids[b]) for a, b in zip(scores[who == i], rows[who == i])] == want
 
 
 # ---- 7 packing
