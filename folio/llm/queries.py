@@ -21,6 +21,16 @@ def tokenizer_path() -> str:
     return os.environ.get("FOLIO_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Without a key named, one is drawn for this process: values stay linked within it and nobody can invert them later.
+_SESSION_KEY = os.urandom(32)
+
+
+def pseudonym_key() -> bytes:
+    """FOLIO_PSEUDONYM_KEY, where values must stay linked over several runs or be inverted; else the session's own. 64 bytes at most count."""
+    named = os.environ.get("FOLIO_PSEUDONYM_KEY", "").encode()
+    return named[:64] or _SESSION_KEY
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,7 +78,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), pseudonym_key())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
