@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import jaccard_join, mixing, packing, pii, quality_rules
 from folio.llm.common import Workspace
-from folio.llm.queries import POLICY, tokenizer_path
+from folio.llm.queries import POLICY, pseudonym_key, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts become pseudonyms; n_chars follows."""
-    return pii.pseudonymize_rows(docs)
+    return pii.pseudonymize_rows(docs, pseudonym_key())
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
