@@ -132,14 +132,16 @@ def mix(slim: DataFrame, work: Workspace, whole: bool = False) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with each row as often as the mix takes it, whole documents only; columns unchanged."""
-    plan = make_plan(work.keep(sizes(docs, doc_id, text, source), "sizes"), work)
+    """docs with each row as often as the mix takes it, whole documents only; columns unchanged.
+
+    Rows are written once with their sizes and keys, so that no text is measured twice. Null texts and texts without words have size 0
+    and are not taken; null sources form one source; repeated rows are rows of their own. An empty table gives an empty result.
+    """
     size_name, key_name = fresh(docs, "_size", "_key")
     size, key = measures(f"`{doc_id}`", f"`{text}`")
-    # always true, but not known to be: filters stay above this projection, so that both are computed once
-    once = F.monotonically_increasing_id() >= 0
-    rows = docs.withColumns({size_name: F.when(once, size), key_name: F.when(once, key)})
-    taken = take(rows, plan, True, doc_id, source, size_name, key_name).filter(F.col("_taken") > 0)
+    rows = work.keep(docs.withColumns({size_name: size, key_name: key}), "measured")
+    slim = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{size_name}`").alias("size"), F.col(f"`{key_name}`").alias("key"))
+    taken = take(rows, make_plan(slim, work), True, doc_id, source, size_name, key_name).filter(F.col("_taken") > 0)
     copies = F.explode(F.sequence(F.lit(1), (F.col("_taken") / F.col(f"`{size_name}`")).cast("int")))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns), copies.alias("_copy")).select(*(F.col(f"`{c}`") for c in docs.columns))
 

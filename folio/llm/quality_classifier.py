@@ -2,8 +2,8 @@
 
 A document has evidence of its own, from a logistic classifier on text features. Its host and its path have posteriors: grouped
 sums of labels (where known) or classifier probabilities, shrunk towards the level above, hosts to the global rate and paths to their
-host, by a concentration estimated from how much groups differ. Sparse sites thus say little. The document's log odds are
-its own plus what its path (without the document itself) adds to the global rate.
+host, by a concentration estimated from how much groups differ. Sparse sites thus say little. A document takes part in neither of its own
+two posteriors. Its log odds are its own plus, by a weight fit to all labelled rows, what its path adds to the global rate.
 
 The classifier is fit on a bounded sample of labelled rows: SAMPLE rows, those with the smallest hash of doc_id, one half
 to find telling words and the other to fit weights. Everything else covers all rows.
@@ -22,8 +22,9 @@ from .common import Workspace, pick, text_of
 
 #: Labelled rows that the classifier is fit on, at most; telling words kept for each label; rows a word must be in.
 SAMPLE, WORDS, SUPPORT = 20_000, 2_000, 5
-#: How much of a site's log odds counts for a document; documents are kept below TOXIC and from QUALITY on.
-SITE, TOXIC, QUALITY = 0.5, 0.5, 0.5
+#: Weights of a site's log odds that are tried; documents are kept below TOXIC and from QUALITY on.
+WEIGHTS = tuple(k / 8 for k in range(13))
+TOXIC, QUALITY = 0.5, 0.5
 TARGETS = ("quality", "toxic")
 _PUNCTUATION = ".,;:!?\"'()[]{}*#%&$|<>-"
 _SYMBOL = "#*$%&|<>"
@@ -87,37 +88,40 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample rows of docs (doc_id, text) that have labels (doc_id, quality, toxic).
+def train(docs: DataFrame, labels: DataFrame, work: Workspace, sample: int = SAMPLE) -> Model:
+    """Fit on at most sample rows of docs (doc_id, text) that have a label (doc_id, quality, toxic); each target on the rows labelled for it.
 
-    What reaches the driver: sample ids, 2 * WORDS words, and the features of half the sample.
+    What reaches the driver: sample ids, 2 * WORDS words, and the features of half the sample. docs is read once.
     """
     spark, model = docs.sparkSession, Model()
-    chosen = labels.filter("doc_id is not null and quality is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.join(F.broadcast(chosen), "doc_id").select("text", *(F.col(t).cast("double") for t in TARGETS), (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("first"))
-    total = known.groupBy().agg(F.count("*").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)).first()
-    if not total["n"]:
+    known = work.keep(known, "known")
+    sums_of = [f(t).alias(f"{t}_{n}") for t in TARGETS for n, f in (("n", F.count), ("s", F.sum))]
+    total = {r["first"]: r for r in known.groupBy("first").agg(*sums_of).collect()}  # two rows
+    count_of = lambda rows, t: (sum(r[f"{t}_n"] for r in rows), sum(r[f"{t}_s"] or 0.0 for r in rows))
+    if not total:
         return model
-    base = [((total[t] or 0) + 1) / (total["n"] + 2) for t in TARGETS]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: dict[str, list[float]] = {}
             for text, q, t in _rows(b):
+                add = (q is not None, q or 0.0, t is not None, t or 0.0)
                 for w in {w.strip(_PUNCTUATION) for w in words_of(text)}:
-                    c = counts.setdefault(w, [0.0, 0.0, 0.0])
-                    c[0] += 1
-                    c[1] += q
-                    c[2] += t
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.float64()) for i in range(3))], ["word", "n", *TARGETS])
-
-    halves = known.filter("first").groupBy().agg(F.count("*").alias("n"), *(F.sum(t).alias(t) for t in TARGETS)).first()
-    if halves["n"]:
-        sums = known.filter("first").select("text", *TARGETS).mapInArrow(count, "word string, n double, quality double, toxic double").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS))).filter(F.col("n") >= SUPPORT)
+                    c = counts.setdefault(w, [0.0, 0.0, 0.0, 0.0])
+                    for i, x in enumerate(add):
+                        c[i] += x
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.float64()) for i in range(4))], ["word", "quality_n", "quality_s", "toxic_n", "toxic_s"])
+
+    if True in total:
+        columns = ("quality_n", "quality_s", "toxic_n", "toxic_s")
+        sums = known.filter("first").select("text", *TARGETS).mapInArrow(count, "word string, quality_n double, quality_s double, toxic_n double, toxic_s double")
+        sums = work.keep(sums.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)).filter(F.greatest("quality_n", "toxic_n") >= SUPPORT), "words")
         for k, t in enumerate(TARGETS):
-            yes, no = halves[t] or 0.0, halves["n"] - (halves[t] or 0.0)
-            ratio = F.log((F.col(t) + 0.5) / (yes + 1.0)) - F.log((F.col("n") - F.col(t) + 0.5) / (no + 1.0))
-            telling = sums.select("word", ratio.alias("r")).filter("abs(r) > 1").orderBy(F.desc(F.abs("r")), "word").limit(WORDS)
+            n, yes = count_of([total[True]], t)
+            ratio = F.log((F.col(f"{t}_s") + 0.5) / (yes + 1.0)) - F.log((F.col(f"{t}_n") - F.col(f"{t}_s") + 0.5) / (n - yes + 1.0))
+            telling = sums.filter(F.col(f"{t}_n") >= SUPPORT).select("word", ratio.alias("r")).filter("abs(r) > 1").orderBy(F.desc(F.abs("r")), "word").limit(WORDS)
             model.evidence[k] = {r["word"]: r["r"] for r in telling.collect()}
     sent = spark.sparkContext.broadcast(model.evidence)
 
@@ -127,14 +131,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())], ["x", *TARGETS])
 
     got = known.filter("not first").select("text", *TARGETS).mapInArrow(measured, "x array<double>, quality double, toxic double").collect()
-    model.weights = list(base)
+    for k, t in enumerate(TARGETS):
+        n, yes = count_of(total.values(), t)
+        model.weights[k] = (yes + 1) / (n + 2)
     if got:
         x = np.array([r["x"] for r in got])
         model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         for k, t in enumerate(TARGETS):
-            y = np.array([r[t] for r in got])
+            on = np.array([r[t] is not None for r in got])
+            y = np.array([r[t] for r in got if r[t] is not None])
             if 0 < y.sum() < len(y):
-                model.weights[k] = fit((x - model.mean) / model.scale, y)
+                model.weights[k] = fit((x[on] - model.mean) / model.scale, y)
     return model
 
 
@@ -164,8 +171,8 @@ def _same(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.alias("a").join(b.alias("b"), on, "left").select("a.*", *(F.col(f"b.{c}") for c in b.columns if c not in keys))
 
 
-def posteriors(scored: DataFrame, target: str) -> DataFrame:
-    """host, path, n, s, host_rate: the sums of the path, and the host's posterior rate; with the global rate and the paths' concentration.
+def posteriors(scored: DataFrame, target: str) -> tuple[DataFrame, float, float, float]:
+    """host, path, n, s, host_n, host_s: counts and sums of each path and its host; with the global rate and the concentrations of hosts and paths.
 
     The concentration at a level is what a beta prior with the groups' variance would have, by the method of moments; where groups
     do not differ more than chance, it is large and groups say nothing.
@@ -185,32 +192,55 @@ def posteriors(scored: DataFrame, target: str) -> DataFrame:
         return min(max(v["m"] * (1 - v["m"]) / between - 1, 1.0), 1e6)
 
     k_host = concentration(hosts, "host_n", F.col("host_s") / F.col("host_n"), F.lit(rate))
-    hosts = hosts.withColumn("host_rate", (F.col("host_s") + k_host * F.lit(rate)) / (F.col("host_n") + k_host))
-    both = _same(paths, hosts.select("host", "host_rate"), "host")
-    k_path = concentration(both, "n", F.col("s") / F.col("n"), F.col("host_rate"))
-    return both.withColumns({"rate": F.lit(rate), "k_path": F.lit(k_path)})
+    both = _same(paths, hosts, "host")
+    host_rate = (F.col("host_s") + k_host * F.lit(rate)) / (F.col("host_n") + k_host)
+    k_path = concentration(both, "n", F.col("s") / F.col("n"), host_rate)
+    return both, rate, k_host, k_path
+
+
+def without(own: Column, rate: float, k_host: float, k_path: float) -> Column:
+    """The posterior rate of a row's path from all rows but itself: it is left out of its path and of the host that the path is shrunk to."""
+    host = (F.col("_host_s") - own + k_host * F.lit(rate)) / (F.col("_host_n") - 1 + k_host)
+    return (F.col("_s") - own + k_path * host) / (F.col("_n") - 1 + k_path)
+
+
+def _weights(sited: DataFrame) -> list[float]:
+    """For each target the weight of the site's log odds under which the labelled rows are likeliest; 0 without labels. One aggregate."""
+    logs = []
+    for t in TARGETS:
+        y = F.col(f"label_{t}")
+        for k, w in enumerate(WEIGHTS):
+            odds = _logit(F.col(t)) + w * F.col(f"site_{t}")
+            # log of the probability of y, written so that it cannot overflow
+            logs.append(F.sum(y * odds - F.greatest(odds, F.lit(0.0)) - F.log1p(F.exp(-F.abs(odds)))).alias(f"{t}_{k}"))
+    got = sited.agg(*logs).first()
+    best = lambda t: max(range(len(WEIGHTS)), key=lambda k: (round(got[f"{t}_{k}"], 9), -k)) if got[f"{t}_0"] is not None else 0
+    return [WEIGHTS[best(t)] for t in TARGETS]
 
 
 def classify(docs: DataFrame, labels: DataFrame, work: Workspace, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """doc_id, quality, toxic (posterior probabilities), own_quality, own_toxic (the classifier's), path_quality, path_toxic, keep.
 
-    labels: doc_id, quality, toxic (0 or 1; repeated ids count by their mean; nulls are no label). Null text counts as empty; null host
-    or path is a site of its own. Without labels every probability is the smoothed rate 0.5. Repeated rows are scored alike.
+    labels: doc_id, quality, toxic (0 or 1; repeated ids count by their mean; a null is no label for that target). Null text counts as
+    empty; null host or path is a site of its own. Without labels every probability is the smoothed rate 0.5. Repeated rows are scored alike.
+    An empty table gives an empty result.
     """
     d = pick(docs.withColumns({"_host": host, "_path": path}), doc_id=doc_id, text=text, host="_host", path="_path")
     d = d.select(F.col("doc_id").cast("long"), text_of("text").alias("text"), F.col("host").cast("string"), F.col("path").cast("string"))
     one = labels.groupBy("doc_id").agg(*(F.avg(t).alias(t) for t in TARGETS))
-    model = train(d, one.select("doc_id", *(F.round(t).alias(t) for t in TARGETS)), sample)
+    model = train(d, one.select("doc_id", *(F.round(t).alias(t) for t in TARGETS)), work, sample)
     named = one.select("doc_id", *(F.col(t).alias(f"label_{t}") for t in TARGETS))
     scored = work.keep(score(d, model).join(named, "doc_id", "left"), "scored")
     out = scored
     for t in TARGETS:
-        site = work.keep(posteriors(scored, t), f"sites_{t}").select("host", "path", F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("host_rate").alias("_host_rate"), F.col("rate").alias("_rate"), F.col("k_path").alias("_k"))
-        out = _same(out, site, "host", "path")
-        own = F.coalesce(F.col(f"label_{t}"), F.col(t))
-        rate = (F.col("_s") - own + F.col("_k") * F.col("_host_rate")) / (F.col("_n") - 1 + F.col("_k"))  # the path without this row
-        odds = _logit(F.col(t)) + SITE * (_logit(rate) - _logit(F.col("_rate")))
-        out = out.withColumns({f"path_{t}": rate, f"post_{t}": 1 / (1 + F.exp(-odds))}).drop("_n", "_s", "_host_rate", "_rate", "_k")
+        sites, rate, k_host, k_path = posteriors(scored, t)
+        sites = work.keep(sites.select("host", "path", *(F.col(c).alias(f"_{c}") for c in ("n", "s", "host_n", "host_s"))), f"sites_{t}")
+        mine = without(F.coalesce(F.col(f"label_{t}"), F.col(t)), rate, k_host, k_path)
+        out = _same(out, sites, "host", "path").withColumn(f"path_{t}", mine).withColumn(f"site_{t}", _logit(F.col(f"path_{t}")) - _logit(F.lit(rate)))
+        out = out.drop("_n", "_s", "_host_n", "_host_s")
+    out = work.keep(out, "sited")
+    for t, w in zip(TARGETS, _weights(out)):
+        out = out.withColumn(f"post_{t}", 1 / (1 + F.exp(-(_logit(F.col(t)) + w * F.col(f"site_{t}")))))
     keep = (F.col("post_quality") >= QUALITY) & (F.col("post_toxic") < TOXIC)
     return out.select("doc_id", F.col("post_quality").alias("quality"), F.col("post_toxic").alias("toxic"), F.col("quality").alias("own_quality"), F.col("toxic").alias("own_toxic"), "path_quality", "path_toxic", keep.alias("keep"))
 

@@ -122,7 +122,10 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with their columns unchanged."""
+    """The rows of docs that the policy keeps, with their columns unchanged.
+
+    Null and empty texts fail few_words and go; repeated rows are judged alike; an empty table stays empty. Columns of any name pass.
+    """
     df, names = measure(docs, text)
     bits = fresh(df, "_q_bits")[0]
     df = df.withColumn(bits, failure_bits(names))
@@ -132,7 +135,8 @@ def keep_rows(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
 def ablation(book: DataFrame, policy: str) -> DataFrame:
     """For each rule of the policy: rows that fail it, rows that only it rejects, rows kept without it.
 
-    Works on the counts by distinct bit pattern, 2 ** rules at most, so the table is read once.
+    Works on the counts by distinct bit pattern, 2 ** rules at most, so the table is read once. seen_bits: all bits that any row failed.
+    An empty ledger has no rows.
     """
     m = mask(policy)
     patterns = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m)).alias("bits")).agg(F.count("*").alias("n"))

@@ -53,6 +53,63 @@ def test_classifier_separates_held_out_rows_and_shrinks_sparse_sites(spark):
     assert sum((got[i]["toxic"] >= 0.5) == (i % 7 == 0 and i % 3 > 0) for i in odd) / len(odd) > 0.97
 
 
+def brute_posteriors(rows):
+    """rows (host, path, y): the rate, and for each row its path's posterior without itself, by plain loops over all other rows."""
+    rate = sum(y for _, _, y in rows) / len(rows)
+
+    def concentration(groups):  # (n, observed, around)
+        w, n = sum(n * (o - a) ** 2 for n, o, a in groups), sum(n for n, _, _ in groups)
+        mean = sum(n * a for n, _, a in groups) / n
+        between = max((w - sum(a * (1 - a) for _, _, a in groups)) / n, 1e-9)
+        return min(max(mean * (1 - mean) / between - 1, 1.0), 1e6)
+
+    def group(key):
+        out = collections.defaultdict(list)
+        for r in rows:
+            out[key(r)].append(r[2])
+        return out
+
+    hosts, paths = group(lambda r: r[0]), group(lambda r: r[:2])
+    k_host = concentration([(len(v), sum(v) / len(v), rate) for v in hosts.values()])
+    host_rate = {h: (sum(v) + k_host * rate) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = concentration([(len(v), sum(v) / len(v), host_rate[h]) for (h, _), v in paths.items()])
+    out = []
+    for i, (h, p, _) in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != i]
+        in_host, in_path = [r[2] for r in others if r[0] == h], [r[2] for r in others if r[:2] == (h, p)]
+        host = (sum(in_host) + k_host * rate) / (len(in_host) + k_host)
+        out.append((sum(in_path) + k_path * host) / (len(in_path) + k_path))
+    return rate, k_host, k_path, out
+
+
+def test_posteriors_are_brute_force_and_sparse_sites_shrink(spark):
+    rng = random.Random(4)
+    hosts = {f"h{i}": rng.random() for i in range(8)} | {None: 0.5}
+    rows = [(h, rng.choice(["a", "b", None]), float(rng.random() < q)) for h, q in hosts.items() for _ in range(rng.randint(3, 40))]
+    rows += [("lone", "x", 1.0), ("single", "y", 0.0), ("h1", "new", 1.0)]
+    df = spark.createDataFrame([(i, h, p, 0.3, y) for i, (h, p, y) in enumerate(rows)], "doc_id long, host string, path string, quality double, label_quality double")
+    sites, rate, k_host, k_path = quality_classifier.posteriors(df, "quality")
+    named = sites.select("host", "path", *(F.col(c).alias(f"_{c}") for c in ("n", "s", "host_n", "host_s")))
+    got = quality_classifier._same(df, named, "host", "path").withColumn("p", quality_classifier.without(F.col("label_quality"), rate, k_host, k_path)).collect()
+    want = brute_posteriors(rows)
+    assert (rate, k_host, k_path) == pytest.approx(want[:3])
+    p = {r["doc_id"]: r["p"] for r in got}
+    assert [p[i] for i in range(len(rows))] == pytest.approx(want[3])
+    # a site of one document says nothing of it, whatever its own label
+    assert p[len(rows) - 3] == pytest.approx(rate) and p[len(rows) - 2] == pytest.approx(rate)
+    # the host's rate stands for a path that has nothing else
+    host = [y for h, _, y in rows[:-1] if h == "h1"]
+    assert p[len(rows) - 1] == pytest.approx((sum(host) + k_host * rate) / (len(host) + k_host))
+
+
+def test_classifier_uses_rows_with_one_label(spark):
+    rows = [(i, ("good words here " * 5 if i % 2 else "# $ % " * 9) + f"w{i}", "h", "p") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 100 else None, None if i < 50 else 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels, Workspace(spark, "t"), F.col("host"), F.col("path")).collect()}
+    assert all((got[i]["quality"] >= 0.5) == (i % 2 == 1) and got[i]["toxic"] < 0.1 for i in range(150, 200))
+
+
 def test_classifier_hard_cases(spark, hard, none):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality_classifier.classify(hard, no_labels, Workspace(spark, "t"), F.col("source"), F.col("lang")).collect()
@@ -243,7 +300,10 @@ def test_rules_hard_cases_and_ablation(spark, hard, none):
     by = {r["doc_id"]: r for r in book}
     assert by[2]["n_words"] == by[3]["n_words"] == by[4]["n_words"] == 0 and by[2]["base_failed"] and not by[2]["kept"]
     assert by[6]["n_words"] == 3000 and by[6]["n_repeat_words"] == 3000 and not by[6]["kept"]
-    assert quality_rules.ledger(none).count() == 0
+    assert quality_rules.ledger(none).count() == 0 and quality_rules.keep_rows(none, "v2").count() == 0
+    kept = quality_rules.keep_rows(hard, "v2")
+    assert kept.columns == hard.columns and kept.count() == sum(r["kept"] for r in book)
+    assert all(r["failed"] == r["rejected_alone"] == r["kept_without"] == 0 for r in quality_rules.ablation(quality_rules.ledger(none), "v2").collect())
     texts = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "# $ % & | < > * a b c d e f"), (3, "one two"), (4, "# $ %")], "doc_id long, text string")
     assert [r["doc_id"] for r in quality_rules.keep_rows(texts, "v2").collect()] == [1]
     a = {r["rule"]: r for r in quality_rules.ablation(quality_rules.ledger(texts), "v1").collect()}
@@ -457,6 +517,52 @@ def test_language_id_hard_cases(spark, hard, none):
     assert {r["lang_pred"] for r in langid.identify(hard, none).collect()} == {"und"} and langid.identify(none, hard).count() == 0
 
 
+def brute_language(rows, learn, top):
+    """(language, distance) of each text by dictionaries and loops."""
+
+    def counts(text):
+        words, out = "".join(c if c.isalpha() else " " for c in text.lower()).split(), collections.Counter()
+        for w in words:
+            w = f" {w} "
+            out.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " ")
+        return out
+
+    def code(g):  # ties: by code points, read as digits of one number
+        return sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+
+    def ranked(c):
+        return sorted(c, key=lambda g: (-c[g], code(g)))[:top]
+
+    by = collections.defaultdict(collections.Counter)
+    for text, lang in learn:
+        if text is not None and lang is not None:
+            by[lang] += counts(text)
+    profiles = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in by.items()}
+    out = []
+    for text in rows:
+        own = ranked(counts(text or ""))
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        away = {lang: sum(abs(p[g] - i) if g in p else top for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=lambda x: away[x])
+        out.append((best, 1 - away[best] / (top * len(own))))
+    return out
+
+
+@pytest.mark.parametrize("top", [langid.TOP, 30])
+def test_language_id_is_brute_force(spark, data, monkeypatch, top):
+    monkeypatch.setattr(langid, "TOP", top)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.collect()
+    want = brute_language([r["text"] for r in rows], [(r["text"], r["lang"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5], top)
+    if top == langid.TOP == 400:
+        got = {r["doc_id"]: r for r in queries.op8_language_id(spark, data).collect()}
+        assert len(got) == len(rows) and all(got[r["doc_id"]]["lang_pred"] == w[0] and got[r["doc_id"]]["score"] == pytest.approx(w[1]) for r, w in zip(rows, want))
+    found = {(r["lang"], langid.spell(r["gram"])): r["rank"] for r in langid.profiles(docs.filter(~langid.held_out())).collect()}
+    assert len(found) == top * len({w[0] for w in want} - {"und"}) and max(found.values()) == top - 1
+
+
 @pytest.mark.parametrize("block", [1 << 20, 37, 50])
 def test_ngram_counts(monkeypatch, block):
     monkeypatch.setattr(langid, "BLOCK", block)
@@ -482,7 +588,10 @@ def test_mixing_hard_cases(spark, hard, none):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
     assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(1.5 * sum(r["size"] for r in rows))
     assert mixing.mix(mixing.sizes(none), Workspace(spark, "t")).count() == 0
-    assert mixing.mix_rows(hard, Workspace(spark, "t")).columns == hard.columns
+    kept = mixing.mix_rows(hard, Workspace(spark, "t"))
+    assert kept.columns == hard.columns and mixing.mix_rows(none, Workspace(spark, "t")).count() == 0
+    whole, times = collections.Counter(map(repr, hard.collect())), collections.Counter(map(repr, kept.collect()))
+    assert set(times) <= set(whole) and all(n <= 2 * whole[r] for r, n in times.items())
 
 
 def test_water_filling(spark):
