@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by longest-previous-factor arrays over suffix order.
 
-A position starts a match if the DEPTH bytes there also start elsewhere. In suffix order, ties by place, equal
-DEPTH-byte strings stand together, and the previous smaller position of each but the first is the one just before it: that
-is its longest previous factor, cut at DEPTH. Suffix order is built by prefix doubling in numpy, for blocks of
-text that can hold a match only among themselves:
+A position starts a match if the DEPTH bytes there also start elsewhere. Blocks of text that can hold a match only among themselves
+are sorted in suffix order, ties by place, by prefix doubling in numpy. From that order and the common prefixes of neighbours come, for each
+position, the previous and the next one in the order that lies earlier in the text; the longer prefix shared with either is its longest
+previous factor. Where that is DEPTH or more, the position starts a later copy.
 
 Every window of DEPTH bytes has an anchor, the smallest hash of the GRAM-byte strings in it, so equal windows have equal
 anchors. Consecutive windows with one anchor form a range, the bytes it covers a span. Ranges whose anchor
@@ -138,22 +138,73 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RANGE = "anchor bigint, span bigint, key bigint, size bigint, start bigint, n int"
 
 
-def suffix_classes(data: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """For each position the rank of its first depth bytes in suffix order (equal strings, equal ranks); past the end
-    counts as zero bytes. By prefix doubling from 8 bytes; the last step lets two halves overlap."""
-    x = np.zeros(len(data), np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    have = min(8, depth)
-    for i in range(have):
-        x |= padded[i : i + len(data)] << np.uint64(56 - 8 * i)
-    rank = _ranked(x)
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.zeros(len(data), np.uint64)
-        after[:-step] = rank[step:] + 1 if step < len(data) else 0
-        rank = _ranked(rank.astype(np.uint64) << np.uint64(32) | after)
-        have += step
-    return rank
+class SuffixOrder:
+    """The suffixes of data at the places at (ascending), in order of their first depth bytes, ties by place. Past the end come zero bytes.
+
+    sa: the places in that order; lcp: how many bytes each has in common with the one before it (the first: 0), up to depth.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, depth: int = DEPTH):
+        data = np.concatenate([data, np.zeros(2 * depth + 8, np.uint8)])
+        word, padded = np.zeros(len(data), np.uint64), np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for i in range(8):
+            word |= padded[i : i + len(data)] << np.uint64(56 - 8 * i)
+        have, rank = min(8, depth), _ranked(word >> np.uint64(64 - 8 * min(8, depth)))
+        self.steps = [(have, rank)]  # ranks of all places by their first have bytes
+        while have < depth:
+            step = min(have, depth - have)
+            after = np.zeros(len(data), np.uint64)
+            after[:-step] = rank[step:]
+            rank = _ranked(rank << np.uint64(32) | after)
+            have += step
+            self.steps.append((have, rank))
+        self.sa = at[np.argsort(rank[at], kind="stable")]
+        self.lcp = np.zeros(len(at), np.int64)
+        if len(at) > 1:
+            self.lcp[1:] = self._common(self.sa[:-1], self.sa[1:], word, depth)
+
+    def _common(self, a: np.ndarray, b: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+        """Bytes that the suffixes at a and b have in common, up to depth: by the ranks of ever shorter prefixes, then by bytes."""
+        n = np.zeros(len(a), np.int64)
+        for have, rank in reversed(self.steps):
+            on = n + have <= depth
+            n += np.where(on & (rank[np.where(on, a + n, 0)] == rank[np.where(on, b + n, 0)]), have, 0)
+        x, y = word[a + n], word[b + n]
+        for size in (4, 2, 1):
+            shift = np.uint64(64 - 8 * size)
+            same = (x >> shift) == (y >> shift)
+            n += np.where(same, size, 0)
+            x, y = (np.where(same, v << np.uint64(8 * size), v) for v in (x, y))
+        return np.minimum(n, depth)
+
+    def longest_previous(self) -> tuple[np.ndarray, np.ndarray]:
+        """In the order of sa: the longest previous factor up to depth, and where it starts (-1: no earlier place)."""
+        before, left = _nearest_smaller(self.sa, self.lcp)
+        # the same from the other end: prefixes shared with the one after
+        after, right = _nearest_smaller(self.sa[::-1], np.append(0, self.lcp[:0:-1]))
+        after, right = after[::-1], right[::-1]
+        left, right = np.where(before >= 0, left, -1), np.where(after >= 0, right, -1)
+        return np.maximum(np.maximum(left, right), 0), np.where(left >= right, before, after)
+
+
+def _nearest_smaller(sa: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest one before it that is smaller (-1: none), and the least lcp between them.
+
+    By descent over tables of minima of the last 1, 2, 4, ... entries: no loop over entries.
+    """
+    n = len(sa)
+    least, common = [sa], [lcp]
+    while 1 << len(least) <= n:
+        have = 1 << (len(least) - 1)
+        for table in (least, common):
+            table.append(np.concatenate([table[-1][:have], np.minimum(table[-1][have:], table[-1][:-have])]))
+    at, shared = np.arange(n) - 1, lcp.copy()
+    for k in reversed(range(len(least))):
+        here = np.maximum(at, 0)
+        jump = (at + 1 >= 1 << k) & (least[k][here] > sa)
+        shared = np.where(jump, np.minimum(shared, common[k][here]), shared)
+        at = np.where(jump, at - (1 << k), at)
+    return np.where(at >= 0, sa[np.maximum(at, 0)], -1), shared
 
 
 def _ranked(x: np.ndarray) -> np.ndarray:
@@ -164,19 +215,13 @@ def _ranked(x: np.ndarray) -> np.ndarray:
     return rank
 
 
-def previous_factor(rank: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the positions at, in text order: whether an earlier one of them, and whether any other, has the same rank.
-
-    In suffix order with ties by place the previous smaller position of equal rank is the neighbour before.
-    """
-    order = np.argsort(rank[at], kind="stable")
-    r = rank[at][order]
-    same = r[1:] == r[:-1]
-    earlier, any_ = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    earlier[order[1:]] = same
-    any_[order[1:]] = same
-    any_[order[:-1]] |= same
-    return earlier, any_
+def matching(data: np.ndarray, at: np.ndarray, keep_first: bool, depth: int = DEPTH) -> np.ndarray:
+    """For the places at (ascending): whether their depth bytes start at an earlier one of them; without keep_first, at any other."""
+    order = SuffixOrder(data, at, depth)
+    on = order.longest_previous()[0] >= depth if keep_first else np.maximum(order.lcp, np.append(order.lcp[1:], 0)) >= depth
+    out = np.zeros(len(at), bool)
+    out[np.searchsorted(at, order.sa)] = on
+    return out
 
 
 def _runs(on: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,8 +247,7 @@ def _sort_spans(keep_first: bool):
         begin = np.concatenate([[0], np.cumsum([len(r["bytes"]) for r in rows])[:-1]])
         owner = np.repeat(np.arange(len(rows)), n)
         inside = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        earlier, any_ = previous_factor(suffix_classes(data), begin[owner] + inside)
-        on = earlier if keep_first else any_
+        on = matching(data, begin[owner] + inside, keep_first)
         who, lo, hi = _runs(on, owner, np.array([r["start"] for r in rows])[owner] + inside)
         return _batch(key=np.array([rows[i]["key"] for i in who], np.int64), size=np.array([rows[i]["size"] for i in who], np.int64), lo=lo.astype(np.int64), hi=hi.astype(np.int64)) if len(who) else None
 
@@ -286,21 +330,54 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(anchor=np.full(n, r["anchor"], np.int64), window=h.view(np.int64), doc_id=pa.array([r["doc_id"]] * n, pa.int64()), key=np.full(n, r["key"], np.int64), size=np.full(n, r["size"], np.int64), at=(at + r["start"]).astype(np.int64))
 
 
-def key_of(text: Column) -> tuple[Column, Column]:
+def key_of(text: Column, seed: int) -> tuple[Column, Column]:
     """What stands for a text: a 64-bit hash and its size in bytes."""
-    return F.xxhash64(text), F.octet_length(text).cast("long")
+    return F.xxhash64(F.lit(seed), text), F.octet_length(text).cast("long")
 
 
-def matches(texts: DataFrame, work: Workspace, keep_first: bool = False) -> DataFrame:
+def keyed(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, size, text for each row; key, size, doc_id, copies for each distinct text of DEPTH bytes or more).
+
+    The smallest doc_id stands for equal texts. Two texts are taken for equal only if another 64-bit hash agrees as well; if
+    any two of one key do not, all are keyed anew with another seed.
+    """
+    seed = 0
+    while True:
+        t = text_of("text")
+        key, size = key_of(t, seed)
+        texts = docs.select(F.col("doc_id").cast("long"), key.alias("key"), size.alias("size"), t.alias("text"))
+        other = F.xxhash64(F.lit(-1 - seed), "text")
+        found = texts.filter(F.col("size") >= DEPTH).groupBy("key", "size").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), (F.min(other) != F.max(other)).alias("mixed"))
+        found = work.keep(found, f"classes-{seed}")
+        if not found.filter("mixed").limit(1).count():
+            return texts, found.drop("mixed")
+        seed += 1
+
+
+#: An anchor with more than one in HOT of all ranges is dealt out to SALT tasks; there are fewer than HOT of them.
+HOT, SALT = 512, 64
+
+
+def _shared_ranges(ranges: DataFrame, work: Workspace) -> DataFrame:
+    """The ranges whose anchor occurs at another place too. Anchors that hold a large share of all ranges are spread over many tasks."""
+    place = F.xxhash64("key", "size", "start")
+    anchors = ranges.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count("*").alias("n")).filter("p <> q").select("anchor", "n")
+    anchors = work.keep(anchors, "anchors")
+    total = ranges.count()
+    hot = [r["anchor"] for r in anchors.filter(F.col("n") * HOT > total).select("anchor").collect()]
+    salted = F.col("anchor").isin(hot) if hot else F.lit(False)
+    rows = ranges.withColumn("salt", F.when(salted, F.pmod(place, F.lit(SALT))).otherwise(F.lit(0)).cast("int"))
+    keys = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.when(salted, F.lit(SALT - 1)).otherwise(F.lit(0)))).alias("salt"))
+    return rows.join(keys, ["anchor", "salt"], "left_semi").drop("salt")
+
+
+def matches(texts: DataFrame, classes: DataFrame, work: Workspace, keep_first: bool = False) -> DataFrame:
     """key, size, lo, hi: runs [lo, hi) of window starts that match elsewhere (keep_first: earlier), for each distinct text.
 
-    texts: doc_id, key, size, text. Of equal texts the one with the smallest doc_id stands for all.
+    texts and classes: as keyed() gives them.
     """
-    classes = work.keep(texts.filter(F.col("size") >= DEPTH).groupBy("key", "size").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
     ranges = work.keep(texts.select("key", "size", "text").mapInArrow(_find, _RANGE), "ranges")
-    place = F.xxhash64("key", "size", "start")
-    shared = ranges.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q").select("anchor")
-    shared = ranges.join(shared, "anchor", "left_semi").distinct().join(classes.drop("copies"), ["key", "size"])
+    shared = _shared_ranges(ranges, work).distinct().join(classes.drop("copies"), ["key", "size"])
     shared = work.keep(shared, "shared")
     work.drop("ranges")
     where = F.struct("doc_id", "key", "size", "start")
@@ -360,13 +437,11 @@ def dedup(docs: DataFrame, work: Workspace, keep_first: bool = False, doc_id: st
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for each row of docs.
 
     keep_first=False removes every byte of a DEPTH-byte string that starts anywhere else as well; keep_first=True leaves the first place
-    (by doc_id, then place). Null text is empty. Repeated rows are copies of each other; with keep_first, rows of equal text and equal,
+    (by doc_id, then place). Null text is empty; an empty table gives an empty result. Repeated rows are copies of each other; with keep_first, rows of equal text and equal,
     smallest doc_id all stay. Texts shorter than DEPTH stay as they are. Matches are judged on the input and never cross documents.
     """
-    t = text_of("text")
-    texts = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), *(c.alias(n) for c, n in zip(key_of(t), ("key", "size"))), t.alias("text"))
-    found = matches(texts, work, keep_first)
-    classes = docs.sparkSession.read.parquet(work.file("classes"))
+    texts, classes = keyed(pick(docs, doc_id=doc_id, text=text), work)
+    found = matches(texts, classes, work, keep_first)
     runs = found.groupBy("key", "size").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     plan = classes.join(runs, ["key", "size"], "left").filter((F.col("copies") > 1) | F.col("runs").isNotNull()).select("key", "size", F.col("doc_id").alias("first"), "copies", "runs")
     gone = (F.col("copies") > 1) & (~F.col("doc_id").eqNullSafe(F.col("first")) if keep_first else F.lit(True))

@@ -354,6 +354,8 @@ def passages(n):
 @pytest.mark.parametrize("keep_first, group", [(False, 1024), (True, 1024), (False, 2), (True, 2)])
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, keep_first, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    if group == 2:
+        monkeypatch.setattr(suffix_dedup, "HOT", 10_000)  # most anchors are dealt out
     rows = passages(60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = suffix_dedup.dedup(df, Workspace(spark, "t"), keep_first).collect()
@@ -366,16 +368,27 @@ def test_suffix_dedup_hard_cases(spark, hard, none):
     assert suffix_dedup.dedup(none, Workspace(spark, "t")).count() == 0
 
 
-def test_suffix_order():
-    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
-    for depth in (3, 8, 12):
-        rank = suffix_dedup.suffix_classes(data, depth)
-        strings = [bytes(data[i : i + depth]).ljust(depth, b"\0") for i in range(len(data))]
-        order = sorted(set(strings))
-        assert [order.index(s) for s in strings] == rank.tolist()
-        earlier, other = suffix_dedup.previous_factor(rank, np.arange(len(data)))
-        assert earlier.tolist() == [s in strings[:i] for i, s in enumerate(strings)]
-        assert other.tolist() == [strings.count(s) > 1 for s in strings]
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_previous_factors_are_brute_force(seed):
+    rng = random.Random(seed)
+    text = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 120))) * rng.randint(1, 3)
+    data, depth = np.frombuffer(text, np.uint8), rng.choice([3, 8, 12, 200])
+    at = np.array(sorted(rng.sample(range(len(text)), rng.randint(1, len(text)))))
+    strings = {int(i): text[i : i + depth].ljust(depth, b"\0") for i in at}
+    order = suffix_dedup.SuffixOrder(data, at, depth)
+    assert order.sa.tolist() == sorted(strings, key=lambda i: (strings[i], i))
+
+    def common(i, j):
+        return next((k for k in range(depth) if strings[i][k] != strings[j][k]), depth)
+
+    assert order.lcp.tolist() == [0, *(common(i, j) for i, j in zip(order.sa, order.sa[1:]))]
+    lpf, where = order.longest_previous()
+    for i, n, j in zip(order.sa, lpf, where):
+        earlier = [common(i, k) for k in strings if k < i]
+        assert n == max(earlier, default=0) and (common(i, j) == n and j < i if earlier else j == -1)
+    for keep_first in (False, True):
+        want = [any(strings[k] == strings[i] for k in strings if k < i or (k != i and not keep_first)) for i in at]
+        assert suffix_dedup.matching(data, at, keep_first, depth).tolist() == want
 
 
 # ---- 6 exact top-k
