@@ -3,7 +3,8 @@
 Texts with the same shingle set are one class, whatever their number. A small set enumerates its subsets of every size that a
 link can leave in common, and equal subsets are links by themselves. A large set is entered in the inverted
 lists of its rarest shingles (as many as a link cannot all miss), and lists are scanned for candidates, which
-are then compared in full. The boundary between small and large is where enumerating would cost more.
+are then compared in full. The boundary between small and large is where enumerating would cost more, by the length of lists measured
+in the scan.
 
 The lists are scanned in two rounds, so that a group of near copies costs about its size: first every entry of a list is
 compared with one pivot, the class with most support in the lists; after joining what that links, only pairs
@@ -27,8 +28,11 @@ from .shingles import mix, shingle_sets
 
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
-#: How many subset hashes cost as much as one list entry with its share of comparisons.
-LIST_COST = 16
+#: A list entry costs as much as a subset's hash, and each other entry of its list as much as COMPARE of them. Lists are measured
+#: on every token of one in SAMPLED, by hash.
+COMPARE, SAMPLED = 4, 1024
+#: Entries of a list that are held at once while lists are made.
+PIECE = 1 << 20
 #: Shingles found in at least LOCAL sets of a task are counted; the most frequent FREQUENT of them sort last in
 #: every set, by frequency, so that they seldom head a list. This orders the work only: any order gives the same links.
 LOCAL, FREQUENT = 4, 1 << 18
@@ -54,10 +58,10 @@ def enumerated(n: int) -> int:
     return sum(math.comb(n, k) for k in range(n - -(-THRESHOLD * n // 100) + 1))
 
 
-def boundary() -> int:
-    """The largest small size: enumerating costs no more than list entries would."""
+def boundary(company: float) -> int:
+    """The largest small size: enumerating costs no more than list entries would, which meet company others each."""
     n = 1
-    while enumerated(n + 1) <= prefix(n + 1) * LIST_COST:
+    while enumerated(n + 1) <= prefix(n + 1) * (1 + COMPARE * company):
         n += 1
     return n
 
@@ -72,7 +76,7 @@ def _digest(s: np.ndarray) -> int:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, cid, n, text_key for each document; kind 1: token, count of shingles frequent within a task."""
+    """kind 0: doc_id, cid, n, text_key for each document; kind 1: token, count of shingles frequent within a task; kind 2: of sampled ones, all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -80,9 +84,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
         def frequent():
             t, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            t, n = t[n >= LOCAL], n[n >= LOCAL]
+            often, sampled = n >= LOCAL, t % np.uint64(SAMPLED) == 0
+            kind = np.repeat(np.array([1, 2], np.int32), [often.sum(), sampled.sum()])
+            t, n = (np.concatenate([x[often], x[sampled]]) for x in (t, n))
             held.clear()
-            return _batch(kind=np.ones(len(t), np.int32), doc_id=pa.nulls(len(t), pa.int64()), token=t.view(np.int64), n=n.astype(np.int64), text_key=pa.nulls(len(t), pa.int64()))
+            return _batch(kind=kind, doc_id=pa.nulls(len(t), pa.int64()), token=t.view(np.int64), n=n.astype(np.int64), text_key=pa.nulls(len(t), pa.int64()))
 
         for b in batches:
             cid, n = [], []
@@ -124,13 +130,12 @@ def _subset_tokens(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return mix(np.array(out, np.uint64)), np.array(sizes, np.int64)
 
 
-def entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def entries(docs: DataFrame, frequent: np.ndarray, limit: int) -> DataFrame:
     """token, cid, n, pos: list entries (pos >= 0) of large sets, subsets (pos = -size) of small ones.
 
     A class met again in the same task is not entered again; classes met in several tasks are made one when lists are read.
-    frequent: tokens, the most frequent first; bounded by FREQUENT.
+    frequent: tokens, the most frequent first; bounded by FREQUENT. limit: the largest small size.
     """
-    limit = boundary()
     by_value = np.argsort(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value))
 
@@ -166,10 +171,13 @@ def entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token bigint, cid bigint, n int, pos int")
 
 
-def _lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Whole lists, several at a time, from batches sorted by token (the first of names)."""
+def _lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Whole lists, several at a time, from batches sorted by token (the first of names).
+
+    A list of more than most entries comes in pieces; the flag says that the first list goes on from the piece before.
+    """
     held: list[dict[str, np.ndarray]] = []
-    size = 0
+    size, goes_on = 0, False
 
     def joined():
         return {k: np.concatenate([h[k] for h in held]) for k in names}
@@ -178,26 +186,33 @@ def _lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
         if not b.num_rows:
             continue
         x = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
+        if goes_on and not held and x[names[0]][0] != last:
+            goes_on = False
         held.append(x)
         size += b.num_rows
-        if held[0][names[0]][0] == x[names[0]][-1]:
-            continue  # one list so far
+        if held[0][names[0]][0] == x[names[0]][-1]:  # one list so far
+            if most and size > most:
+                last = x[names[0]][-1]
+                yield joined(), goes_on
+                held, size, goes_on = [], 0, True
+            continue
         x = joined()
         cut = int(np.flatnonzero(x[names[0]] != x[names[0]][-1])[-1]) + 1
-        yield {k: v[:cut] for k, v in x.items()}
-        held = [{k: v[cut:] for k, v in x.items()}]
+        yield {k: v[:cut] for k, v in x.items()}, goes_on
+        held, goes_on = [{k: v[cut:] for k, v in x.items()}], False
         size = len(held[0][names[0]])
     if held:
-        yield joined()
+        yield joined(), goes_on
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries of lists with two classes or more, each class once; with the number of classes.
 
-    Reads rows sorted by token, n and cid. In lists of up to SMALL_LIST entries, those that can link with no other are left out.
+    Reads rows sorted by token, n and cid. In lists of up to SMALL_LIST entries, those that can link with no other are left out. Of a list
+    in pieces every entry stays, with the number of its piece.
     """
     names = ("token", "n", "cid", "pos")
-    for x in _lists(batches, names):
+    for x, goes_on in _lists(batches, names, PIECE):
         t, n, c = x["token"], x["n"], x["cid"]
         first = np.ones(len(t), bool)
         first[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1])
@@ -213,6 +228,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_, p_ = x["n"].astype(np.int64)[at], x["pos"][at]
                 can = _possible(n_[:, :, None], p_[:, :, None], n_[:, None, :], p_[:, None, :]) & ~np.eye(k, dtype=bool)
                 on[at] = can.any(2)
+        if goes_on:
+            on[: size[0]] = True
         if on.any():
             yield _batch(token=t[on], cid=x["cid"][on], n=x["n"][on], pos=x["pos"][on], size=each[on].astype(np.int64))
 
@@ -227,27 +244,42 @@ def _possible(n1, p1, n2, p2) -> np.ndarray:
 _PAIR = "a bigint, an int, b bigint, bn int, sure boolean"
 
 
+def _pairs(c, n, d, m, sure) -> pa.RecordBatch:
+    """Pairs of the classes (c, n) and (d, m), the smaller first."""
+    swap = (c > d) | ((c == d) & (n > m))
+    first = lambda x, y: np.where(swap, y, x)
+    return _batch(a=first(c, d), an=first(n, m).astype(np.int32), b=first(d, c), bn=first(m, n).astype(np.int32), sure=sure)
+
+
 def _pair_batch(c, n, p, i, j) -> pa.RecordBatch:
-    swap = (c[i] > c[j]) | ((c[i] == c[j]) & (n[i] > n[j]))
-    a, b = np.where(swap, j, i), np.where(swap, i, j)
-    return _batch(a=c[a], an=n[a].astype(np.int32), b=c[b], bn=n[b].astype(np.int32), sure=p[a] < 0)
+    return _pairs(c[i], n[i], c[j], n[j], p[i] < 0)
 
 
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each entry with its list's pivot: the class of most support. Rows sorted by token, support (most first), n, cid."""
-    for x in _lists(batches, ("token", "cid", "n", "pos")):
-        t, c, n, p = (x[k] for k in ("token", "cid", "n", "pos"))
+    """Each entry with its list's pivot: the class of most support. Rows sorted by token, support (most first), n, cid; only the pivot is held."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t, c, n, p = (b.column(k).to_numpy(zero_copy_only=False) for k in ("token", "cid", "n", "pos"))
         start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        pivot = np.repeat(start, np.diff(np.append(start, len(t))))
-        i = np.arange(len(t))
-        on = (i != pivot) & _possible(n[i].astype(np.int64), p[i], n[pivot].astype(np.int64), p[pivot])
+        at = np.repeat(start, np.diff(np.append(start, len(t))))
+        other = np.arange(len(t)) != at
+        pivot = [x[at] for x in (c, n, p)]
+        if last is not None and t[0] == last[0]:  # the list began in a batch before
+            end = start[1] if len(start) > 1 else len(t)
+            other[0] = True
+            for x, value in zip(pivot, last[1:]):
+                x[:end] = value
+        last = (t[-1], *(x[-1] for x in pivot))
+        on = other & _possible(n.astype(np.int64), p, pivot[1].astype(np.int64), pivot[2])
         if on.any():
-            yield _pair_batch(c, n, p, pivot[on], i[on])
+            yield _pairs(pivot[0][on], pivot[1][on], c[on], n[on], p[on] < 0)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a list that lie in different components, but for those with the pivot. Rows sorted as for _star."""
-    for x in _lists(batches, ("token", "cid", "n", "pos", "root", "root_n")):
+    for x, _ in _lists(batches, ("token", "cid", "n", "pos", "root", "root_n")):
         t = x["token"]
         start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
         for lo, hi in zip(start[:-1] + 1, start[1:]):  # past the pivot
@@ -364,22 +396,26 @@ def join(docs: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "
 def _join(docs: DataFrame, work: Workspace, doc_id: str, text: str) -> DataFrame:
     """join() with text_key, a hash of the row's text."""
     docs = pick(docs, doc_id=doc_id, text=text)
-    spark = docs.sparkSession
     scanned = work.keep(scan(docs), "scan")
     slim = scanned.filter("kind = 0").select("doc_id", F.col("token").alias("cid"), F.col("n").cast("int").alias("n"), "text_key")
     often = scanned.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    frequent = often.select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(np.int64).view(np.uint64)
+    often = often.select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])
+    frequent, least_frequent = often["token"].to_numpy(np.int64).view(np.uint64), float(often["n"].min()) if len(often) else 0.0
     classes = slim.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("rep"))
     classes = work.keep(classes, "classes")
-    by_token = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    lists = entries(docs, frequent).repartition(by_token, "token").sortWithinPartitions("token", "n", "cid", "pos")
+    # how many others an entry meets in its list, on average, where shingles are not so frequent that they come last
+    rare = scanned.filter("kind = 2").groupBy("token").agg(F.sum("n").cast("double").alias("n"))
+    if len(frequent) == FREQUENT:
+        rare = rare.filter(F.col("n") <= least_frequent)
+    met = rare.agg(F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).first()[0]
+    lists = entries(docs, frequent, boundary(met or 0.0)).repartition("token").sortWithinPartitions("token", "n", "cid", "pos")
     lists = work.keep(lists.mapInArrow(_shared, "token bigint, cid bigint, n int, pos int, size bigint"), "lists")
     # lists of small sets by subset need no pivot of support; support is how much company a class has in its lists
     support = lists.groupBy("cid", "n").agg(F.sum(F.least("size", F.lit(1 << 30)) / F.col("n")).alias("support"))
     lists = work.keep(lists.join(support, ["cid", "n"]), "supported")
     work.drop("lists")
     order = ["token", F.desc("support"), "n", "cid"]
-    star = lists.select("token", "cid", "n", "pos", "support").repartition(by_token, "token").sortWithinPartitions(*order).mapInArrow(_star, _PAIR)
+    star = lists.select("token", "cid", "n", "pos", "support").repartition("token").sortWithinPartitions(*order).mapInArrow(_star, _PAIR)
     links = _compare(docs, classes, star, work, "star")
     node = lambda c, n: F.struct(F.col(c).alias("cid"), F.col(n).alias("n"))
     as_edges = lambda d: d.select(node("a", "an").alias("a"), node("b", "bn").alias("b"))
@@ -388,7 +424,7 @@ def _join(docs: DataFrame, work: Workspace, doc_id: str, text: str) -> DataFrame
     # a list within one component has nothing left to compare, nor has one of two classes, which the pivot covered
     open_ = rooted.groupBy("token").agg(F.min(F.struct("root", "root_n")).alias("lo"), F.max(F.struct("root", "root_n")).alias("hi"), F.count("*").alias("k")).filter("lo <> hi and k > 2").select("token")
     rooted = rooted.join(open_, "token", "left_semi")
-    across = rooted.select("token", "cid", "n", "pos", "support", "root", "root_n").repartition(by_token, "token").sortWithinPartitions(*order).mapInArrow(_across, _PAIR)
+    across = rooted.select("token", "cid", "n", "pos", "support", "root", "root_n").repartition("token").sortWithinPartitions(*order).mapInArrow(_across, _PAIR)
     more = _compare(docs, classes, across, work, "across")
     roots = components(as_edges(links.unionByName(more)), work, "last")
     work.drop("supported")

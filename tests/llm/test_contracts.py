@@ -246,6 +246,30 @@ def test_join_is_brute_force(spark):
     assert joined(spark, rows) == brute_components(rows)
 
 
+@pytest.mark.parametrize("compare, small", [(0, 1), (1000, 14)])
+def test_join_does_not_depend_on_the_boundary(spark, monkeypatch, compare, small):
+    limits, inner = [], jaccard_join.boundary
+    monkeypatch.setattr(jaccard_join, "COMPARE", compare)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 1)
+    monkeypatch.setattr(jaccard_join, "boundary", lambda company: limits.append(min(14, inner(company))) or limits[-1])
+    rows = near_rows(6)[100:400]
+    assert joined(spark, rows) == brute_components(rows)
+    assert limits == [4 if compare == 0 else small]
+
+
+@pytest.mark.parametrize("sizes, batch", [([3, 40, 1, 2500, 1, 1, 7], 100), ([2500, 1], 999), ([1, 2500], 64), ([5] * 30, 7)])
+def test_lists_in_pieces_lose_no_entry(monkeypatch, sizes, batch):
+    monkeypatch.setattr(jaccard_join, "PIECE", 300)
+    rows = [(t, i, 20, 0) for t, k in enumerate(sizes) for i in range(k)]
+    column = lambda k: np.array([r[k] for r in rows], np.int64)
+    whole = pa.RecordBatch.from_arrays([pa.array(column(0)), pa.array(column(1)), pa.array(column(2).astype(np.int32)), pa.array(column(3).astype(np.int32))], ["token", "cid", "n", "pos"])
+    parts = [whole.slice(i, batch) for i in range(0, len(rows), batch)]
+    got = [(t, c) for b in jaccard_join._shared(iter(parts)) for t, c in zip(b.column("token").to_pylist(), b.column("cid").to_pylist())]
+    assert sorted(got) == [(t, i) for t, k in enumerate(sizes) for i in range(k) if k > 1]
+    star = [(a, b) for x in jaccard_join._star(iter(parts)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert sorted(star) == sorted((0, i) for k in sizes for i in range(1, k))
+
+
 def test_join_hard_cases(spark, hard, none):
     got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in jaccard_join.join(hard, Workspace(spark, "t")).collect())
     assert got == brute_components(HARD)
@@ -277,7 +301,8 @@ def test_shingles_do_not_depend_on_blocks():
 
 
 def test_boundary_and_prefix():
-    assert jaccard_join.boundary() == 9
+    assert jaccard_join.boundary(15 / jaccard_join.COMPARE) == 9
+    assert sorted(map(jaccard_join.boundary, (0, 1, 4, 20, 100))) == list(map(jaccard_join.boundary, (0, 1, 4, 20, 100)))
     for n in range(1, 60):
         for m in range(n, 76):
             links = [k for k in range(n + 1) if 100 * k >= 80 * (n + m - k)]
