@@ -61,6 +61,26 @@ def rewrite_prompt(question: Column, history: Column) -> Column:
     return F.concat(F.lit("Conversation:\n"), talk, F.lit("\n\nLatest question: "), question, F.lit(f"\n\n{rules}\n"))
 
 
+def rewritten(question: Column, needed: Column, reply: Column) -> Column:
+    """What is searched for: the model's reply, stripped, where a rewrite is needed and there is one; else the question as it is."""
+    r = strip(F.coalesce(reply, F.lit("")))
+    return F.when(needed & (r != ""), r).otherwise(question)
+
+
+def suggestions(documents: DataFrame) -> DataFrame:
+    """document_id, suggestion_no (from 0), suggestion for documents (document_id, document_type): a lookup in a table of nine rows."""
+    spark = documents.sparkSession
+    rows = [(kind, i, text) for kind, texts in SUGGESTIONS.items() for i, text in enumerate(texts)]
+    known = F.broadcast(spark.createDataFrame(rows, "document_type string, suggestion_no int, suggestion string"))
+    return documents.select("document_id", "document_type").join(known, "document_type").select("document_id", "suggestion_no", "suggestion")
+
+
+def answer_deltas(answers: DataFrame, key: str = "request_id") -> DataFrame:
+    """key, seq, delta: the non-empty parts of an answer as they come."""
+    parts = F.filter("deltas", lambda x: F.coalesce(x, F.lit("")) != "")
+    return answers.select(key, F.posexplode(parts).alias("seq", "delta"))
+
+
 def answer_messages(system: Column, history: Column, context: Column, question: Column) -> Column:
     """array<struct<role, content>>: system, the history as it is, then the question with delimited context."""
     ask = F.concat(F.lit("\n<document_context>\n"), context, F.lit("\n</document_context>\n\nQuestion:\n"), question, F.lit("\n"))
@@ -117,14 +137,14 @@ def sse_event(event: Column, data: Column) -> Column:
 
 
 def sse_frames(stream: Column) -> Column:
-    """array<struct<event, data>> of the complete frames of a stream; data lines joined; event defaults to message."""
+    """array<struct<event, data>> of the complete frames of a stream; data lines joined; event defaults to message. Frames whose data is not JSON are ignored."""
     text = F.regexp_replace(stream, "\r\n", "\n")
     frames = F.split(text, "\n\n", -1)
     whole = F.slice(frames, F.lit(1), F.greatest(F.size(frames) - 1, F.lit(0)))
     lines = lambda f, name: F.transform(F.filter(F.split(f, "\n"), lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
     event = lambda f: F.coalesce(F.element_at(F.when(F.size(lines(f, "event")) > 0, lines(f, "event")), -1), F.lit("message"))
     found = F.transform(whole, lambda f: F.struct(event(f).alias("event"), F.array_join(lines(f, "data"), "\n").alias("data")))
-    return F.filter(found, lambda x: x["data"] != "")
+    return F.filter(found, lambda x: (x["data"] != "") & F.try_parse_json(x["data"]).isNotNull())
 
 
 def joined_answer(deltas: Column, done_text: Column) -> Column:

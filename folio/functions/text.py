@@ -130,10 +130,11 @@ def with_heading(heading: Column, body: Column) -> Column:
 def sentences(c: Column, max_words: int = 200) -> Column:
     """Sentences ending in . ! or ? before white space, each cut into pieces of at most max_words words."""
     marked = F.split(F.regexp_replace(strip(c), r"([.!?])\s+", "$1\u0000"), "\u0000")
-    pieces = F.transform(marked, lambda s: F.transform(
-        F.sequence(F.lit(0), F.floor((F.greatest(F.size(tokens(s)), F.lit(1)) - 1) / max_words).cast("int")),
-        lambda k: F.array_join(F.slice(tokens(s), k * max_words + 1, F.lit(max_words)), " ")))
-    return F.filter(F.flatten(pieces), lambda x: x != "")
+    cut = lambda w: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / max_words).cast("int")),
+        lambda k: F.array_join(F.slice(w, k * max_words + 1, F.lit(max_words)), " "))
+    pieces = F.flatten(F.transform(marked, lambda s: let(tokens(s), cut)))
+    return F.filter(pieces, lambda x: x != "")
 
 
 def bm25_tokens(c: Column) -> Column:
@@ -161,19 +162,23 @@ def vocabulary(c: Column) -> Column:
 def join_hyphenated(c: Column, words: Column) -> Column:
     """At each hyphen before a line break between words: joined if the joined word is in words, else the hyphen stays and the break goes.
 
-    Left to right without overlap, as a fold over the parts between hyphens with breaks.
+    Left to right without overlap: a part that is one word and closed a match cannot open the next. Only flags are folded over the parts, so the
+    work is linear in the text.
     """
-    parts = F.split(c, r"(?U)(?<=\w)-\n(?=\w)")
-    tail, head = r"(?U)\w+$", r"(?U)^\w+"
-    start = F.struct(F.get(parts, F.lit(0)).alias("text"), F.lit("").alias("used"))
-
-    def step(acc: Column, part: Column) -> Column:
-        left, right = F.regexp_extract(acc["text"], tail, 0), F.regexp_extract(part, head, 0)
-        # a word that closed one match cannot open the next
-        open_ = F.when(acc["used"] == left, F.lit(False)).otherwise(F.lit(True))
-        known = F.array_contains(words, F.lower(F.concat(left, right)))
-        text = F.when(~open_, F.concat(acc["text"], F.lit("-\n"), part)).when(known, F.concat(acc["text"], part)).otherwise(F.concat(acc["text"], F.lit("-"), part))
-        used = F.when(open_ & known, F.concat(left, right)).when(open_, right).otherwise(F.lit(""))
-        return F.struct(text.alias("text"), F.when(part == right, used).otherwise(F.lit("")).alias("used"))
-
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["text"])
+    word, tail, head = r"(?U)^\w+$", r"(?U)\w+$", r"(?U)^\w+"
+    rest = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
+
+    def flag(acc: Column, part: Column) -> Column:
+        return F.struct((~acc["used"] & part.rlike(word)).alias("used"), F.concat(acc["open"], F.array(~acc["used"])).alias("open"))
+
+    start = F.struct(F.lit(False).alias("used"), F.array().cast("array<boolean>").alias("open"))
+
+    def joined(parts: Column, open_: Column, known_words: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            known = F.array_contains(known_words, F.lower(F.concat(F.regexp_extract(F.get(parts, i - 1), tail, 0), F.regexp_extract(part, head, 0))))
+            return F.concat(F.when(i == 0, "").when(~F.get(open_, i - 1), "-\n").when(known, "").otherwise("-"), part)
+
+        return F.array_join(F.transform(parts, one), "")
+
+    split = F.split(c, r"(?U)(?<=\w)-\n(?=\w)")
+    return let(words, lambda w: let(split, lambda parts: let(F.aggregate(rest(parts), start, flag)["open"], lambda open_: joined(parts, open_, w))))

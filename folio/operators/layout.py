@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORDY, strip
+from ..functions.text import is_noisy, let, strip
 
 LOW_CONFIDENCE, MIN_SCORE = 0.9, 0.5
 
@@ -31,55 +30,56 @@ def two_column(lines: DataFrame) -> DataFrame:
     return a.select("document_id", "page", ((F.col("l") >= least) & (F.col("r") >= least)).alias("two_column"))
 
 
-def _row_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lines to visual rows: by centre, a line joins the last row if it is within half the smaller height of the row's first line."""
-    pdf = pdf.assign(c=(pdf.y0 + pdf.y1) / 2, h=pdf.y1 - pdf.y0).sort_values("c", kind="stable")
-    row, anchor, numbers = -1, None, []
-    for c, h in zip(pdf.c, pdf.h):
-        if anchor is None or abs(c - anchor[0]) > 0.5 * min(h, anchor[1]):
-            row, anchor = row + 1, (c, h)
-        numbers.append(row)
-    pdf = pdf.assign(row=numbers).sort_values(["row", "x0"], kind="stable")
-    out = pdf.groupby("row").agg(text=("text", " ".join), x0=("x0", "min"), x1=("x1", "max"), y0=("y0", "min"), y1=("y1", "max")).reset_index()
-    return out.assign(document_id=pdf["document_id"].iloc[0], page=pdf["page"].iloc[0], width=pdf["width"].iloc[0])
-
-
-def _noisy(text: str) -> bool:
-    import re
-
-    t = text.split()
-    return not t or sum(not re.search(WORDY, x) for x in t) / len(t) > 0.5
-
-
-def _stack_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows to blocks: a row joins the newest block above it that it overlaps and touches, if both are noise or both are not."""
-    blocks: list[dict] = []
-    for r in pdf.sort_values(["y0", "x0"], kind="stable").itertuples():
-        h, noise = r.y1 - r.y0, _noisy(r.text)
-        near = next((b for b in reversed(blocks) if r.x0 < b["x1"] and r.x1 > b["x0"] and -0.5 * h <= r.y0 - b["y1"] <= 0.9 * h), None)
-        if near is not None and near["noise"] == noise:
-            near["text"] += "\n" + r.text
-            near.update(x0=min(near["x0"], r.x0), x1=max(near["x1"], r.x1), y1=max(near["y1"], r.y1))
-        else:
-            blocks.append({"text": r.text, "x0": r.x0, "x1": r.x1, "y0": r.y0, "y1": r.y1, "noise": noise})
-    blocks.sort(key=lambda b: (b["y0"], b["x0"]))
-    return pd.DataFrame({"document_id": pdf["document_id"].iloc[0], "page": pdf["page"].iloc[0], "part": pdf["part"].iloc[0], "pos": range(len(blocks)), "text": [b["text"] for b in blocks]})
-
+def merge_rows(lines: DataFrame) -> DataFrame:
+    """document_id, page, width, row, text and box of each visual row.
 
-def _kind(lines: DataFrame) -> str:
-    return lines.schema["document_id"].dataType.simpleString()
+    By centre (ties by left edge, then text), a line joins the last row if their centres differ by at most half the smaller height of the line and the
+    row's first line; else it begins a row. A fold over one page's lines that carries that first line's centre and height.
+    """
+    centre, height = (F.col("y0") + F.col("y1")) / 2, F.col("y1") - F.col("y0")
+    line = F.struct(centre.alias("c"), "x0", "text", "x1", "y0", "y1", height.alias("h"))
+    p = lines.groupBy("document_id", "page").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(line)).alias("lines"))
+    start = F.struct(F.array().cast("array<int>").alias("rows"), F.lit(-1).alias("row"), F.lit(0.0).alias("c"), F.lit(0.0).alias("h"))
 
+    def step(acc: Column, x: Column) -> Column:
+        joins = (acc["row"] >= 0) & (F.abs(x["c"] - acc["c"]) <= 0.5 * F.least(x["h"], acc["h"]))
+        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        return F.struct(F.array_append(acc["rows"], row).alias("rows"), row.alias("row"), F.when(joins, acc["c"]).otherwise(x["c"]).alias("c"), F.when(joins, acc["h"]).otherwise(x["h"]).alias("h"))
 
-def merge_rows(lines: DataFrame) -> DataFrame:
-    """document_id, page, width, row, text and box of each visual row. One page's lines at a time."""
-    out = f"row int, text string, x0 double, x1 double, y0 double, y1 double, document_id {_kind(lines)}, page int, width double"
-    return lines.groupBy("document_id", "page").applyInPandas(_row_fold, out)
+    numbered = p.select("document_id", "page", "width", F.inline(F.arrays_zip(F.aggregate("lines", start, step)["rows"].alias("row"), F.col("lines").alias("l"))))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l.x0", "l.c", "l.text"))), lambda x: x["text"]), " ")
+    return numbered.groupBy("document_id", "page", "width", "row").agg(words.alias("text"), F.min("l.x0").alias("x0"), F.max("l.x1").alias("x1"), F.min("l.y0").alias("y0"), F.max("l.y1").alias("y1"))
 
 
 def stack_blocks(rows: DataFrame) -> DataFrame:
-    """document_id, page, part, pos, text. part orders columns of one page."""
+    """document_id, page, part, pos, text. part orders columns of one page.
+
+    From the top (ties from the left, then by text) a row looks for the newest block that it overlaps sideways and that ends near its top; it
+    joins that block if both are noise or both are not, else it is a block of its own. Blocks then go by their top, ties from the left.
+    """
     rows = rows if "part" in rows.columns else rows.withColumn("part", F.lit(0))
-    return rows.groupBy("document_id", "page", "part").applyInPandas(_stack_fold, f"document_id {_kind(rows)}, page int, part int, pos int, text string")
+    row = F.struct("y0", "x0", "text", "x1", "y1", is_noisy(F.col("text")).alias("noise"))
+    p = rows.groupBy("document_id", "page", "part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    block = "struct<y0:double,x0:double,text:string,x1:double,y1:double,noise:boolean>"
+
+    def step(blocks_: Column, r: Column) -> Column:
+        gap = lambda b: r["y0"] - b["y1"]
+        h = r["y1"] - r["y0"]
+        touches = lambda b: (r["x0"] < b["x1"]) & (r["x1"] > b["x0"]) & (gap(b) >= -0.5 * h) & (gap(b) <= 0.9 * h)
+        near = F.array_max(F.transform(blocks_, lambda b, i: F.when(touches(b), i).otherwise(-1)))
+
+        def placed(i: Column) -> Column:
+            same = F.get(blocks_, i)["noise"] == r["noise"]
+            grown = lambda b: F.struct(b["y0"].alias("y0"), F.least(b["x0"], r["x0"]).alias("x0"), F.concat_ws("\n", b["text"], r["text"]).alias("text"), F.greatest(b["x1"], r["x1"]).alias("x1"),
+                                       F.greatest(b["y1"], r["y1"]).alias("y1"), b["noise"].alias("noise"))
+            joined = F.transform(blocks_, lambda b, k: F.when(k == i, grown(b)).otherwise(b))
+            return F.when((i >= 0) & F.coalesce(same, F.lit(False)), joined).otherwise(F.array_append(blocks_, r))
+
+        return let(F.coalesce(near, F.lit(-1)), placed)
+
+    found = F.aggregate("rows", F.array().cast(f"array<{block}>"), step)
+    ordered = F.array_sort(F.transform(found, lambda b, i: F.struct(b["y0"].alias("y0"), b["x0"].alias("x0"), i.alias("i"), b["text"].alias("text"))))
+    return p.select("document_id", "page", "part", F.posexplode(F.transform(ordered, lambda b: b["text"])).alias("pos", "text"))
 
 
 def blocks(lines: DataFrame) -> DataFrame:

@@ -19,16 +19,27 @@ def _top(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """document_id, chunk_index, term, tf, length. One shuffle-free explode, then a partial-aggregated count."""
+#: Distinct terms that queries may ask for while they are broadcast, and queries with vectors: both a few dozen MB at most. Beyond, joins shuffle.
+BROADCAST_TERMS, BROADCAST_QUERIES = 1 << 20, 1 << 16
+
+
+def few(rows: DataFrame, limit: int) -> DataFrame:
+    """rows, marked for broadcast if there are no more than limit."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """document_id, chunk_index, term, tf, length: of all terms, or those in terms only, which then go before anything is shuffled."""
     t = chunks.select("document_id", "chunk_index", bm25_tokens(F.col("text")).alias("tokens"))
-    terms = t.select("document_id", "chunk_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return terms.groupBy("document_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf"))
+    rows = t.select("document_id", "chunk_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(few(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
+    return rows.groupBy("document_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
-    """document_id, n, avg_length over all chunks, those without tokens too."""
-    t = chunks.select("document_id", F.size(bm25_tokens(F.col("text"))).alias("length"))
+    """document_id, n, avg_length over all chunks, those without tokens too. Tokens are counted, not built."""
+    t = chunks.select("document_id", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).alias("length"))
     return t.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
@@ -36,6 +47,32 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("document_id", "term").agg(F.count("*").alias("df"))
 
 
+class Index:
+    """Postings, document statistics and chunk places of a collection, written once for each version of it.
+
+    A question reads the postings of its terms instead of the texts: they are sorted by term, so whole row groups are skipped. When the collection has
+    changed, the caller names another version and the index is made anew.
+    """
+
+    def __init__(self, chunks: DataFrame, folder: str, version: str):
+        self.spark, self.path = chunks.sparkSession, f"{folder.rstrip('/')}/index-{version}"
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/complete")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            places = chunks.select("document_id", "chunk_index")
+            for name, rows in (("postings", postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "document_id")), ("stats", document_stats(chunks)), ("places", places)):
+                rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            fs.create(path).close()
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def bm25(self, queries: DataFrame, k: int = 10, drop_zero: bool = False) -> DataFrame:
+        terms = query_terms(queries)
+        posted = self._read("postings").join(few(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
+        return _bm25(terms, posted, self._read("stats"), self._read("places"), k, drop_zero)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, (document_id if queries name one), term, times."""
     keys = [c for c in ("query_id", "document_id") if c in queries.columns]
@@ -49,13 +86,14 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, drop_zero: bool = F
     counts as often as it occurs. Padding takes no cross join with all chunks: a list with m < k hits needs
     k - m misses, and among the first 2k chunks of a document there are that many.
     """
-    posted = postings(chunks)
     terms = query_terms(queries)
-    on = [c for c in ("document_id", "term") if c in terms.columns]
-    hits = posted.join(terms, on)
-    stats = document_stats(chunks)
-    # statistics are needed for the queries' terms only
-    df = term_stats(posted.join(terms.select("term").distinct(), "term", "left_semi"))
+    return _bm25(terms, postings(chunks, terms), document_stats(chunks), chunks.select("document_id", "chunk_index"), k, drop_zero)
+
+
+def _bm25(terms: DataFrame, posted: DataFrame, stats: DataFrame, chunks: DataFrame, k: int, drop_zero: bool) -> DataFrame:
+    """See bm25; posted holds the queries' terms only."""
+    hits = posted.join(few(terms, BROADCAST_TERMS), [c for c in ("document_id", "term") if c in terms.columns])
+    df = term_stats(posted)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("avg_length") > 0, 1 - B + B * F.col("length") / F.col("avg_length")).otherwise(F.lit(1.0))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
@@ -74,7 +112,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, drop_zero: bool = F
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "l2") -> DataFrame:
     """Exact k nearest vectors within the query's document: queries (query_id, document_id, vector), vectors (document_id, chunk_index, vector).
 
-    score is the squared distance (l2) or the cosine; the join is on document_id, so only one document's vectors meet a query.
+    score is the squared distance (l2) or the cosine; the join is on document_id, so only one document's vectors meet a query. Few queries are
+    broadcast: then vectors stay where they are, and each task keeps its k best.
     """
     q = queries.select("query_id", "document_id", F.transform("vector", lambda x: x.cast("double")).alias("q"))
     v = vectors.select("document_id", "chunk_index", F.transform("vector", lambda x: x.cast("double")).alias("v"))
@@ -84,19 +123,23 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 3, metric: str = "l2")
         score, order = add(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y))), F.asc
     else:
         score, order = dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v"))), F.desc
-    rows = q.join(v, "document_id").withColumn("score", F.round(score, DIGITS))
+    rows = v.join(few(q, BROADCAST_QUERIES), "document_id").withColumn("score", F.round(score, DIGITS))
     return _top(rows.drop("q", "v"), k, order("score"), F.col("chunk_index")).select("query_id", "document_id", "chunk_index", "rank", "score")
 
 
-def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion: the sum of 1 / (k + rank); ties keep the order of first sight, list by list."""
+def fuse(lists: list[DataFrame], k: int = RRF_K, payload: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion: the sum of 1 / (k + rank); ties keep the order of first sight, list by list.
+
+    payload: columns to carry along; where lists differ, the later list's values hold.
+    """
     rows = None
     for no, ranking in enumerate(lists):
-        part = ranking.select("query_id", "document_id", "chunk_index", "rank", F.lit(no).alias("list_no"))
+        part = ranking.select("query_id", "document_id", "chunk_index", "rank", *payload, F.lit(no).alias("list_no"))
         rows = part if rows is None else rows.unionByName(part)
-    fused = rows.groupBy("query_id", "document_id", "chunk_index").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"))
+    carried = [F.max_by(F.struct(*payload), "list_no").alias("carried")] if payload else []
+    fused = rows.groupBy("query_id", "document_id", "chunk_index").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"), *carried)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen", "document_id", "chunk_index")
-    return fused.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "document_id", "chunk_index", "rank", "score")
+    return fused.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "document_id", "chunk_index", "rank", "score", *(["carried.*"] if payload else []))
 
 
 def first(ranking: DataFrame, k: int) -> DataFrame:

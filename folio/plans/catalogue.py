@@ -1,67 +1,25 @@
 """The query catalogue over the synthetic tables, each with SQL for a second engine where SQL can express it.
 
 Roles: a document is a language (its rows are the chunks) or a row of documents (its lines are blocks, ten to a page); queries are
-benchmark passages; the log is events. Texts that the tables hardly have (bullets, hyphens, boxes) come as literals in both engines.
+benchmark passages; the log is events. Texts that the tables hardly have (bullets, hyphens, boxes) are made from their texts, in both engines alike:
+see the modules cases_*, which enter their queries here as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import conversation as C
 from ..functions import text as T
-from ..operators import chunking, evaluation, layout, ranking
+from ..operators import chunking, evaluation, ranking
 from ..providers import hash_embedding
 from ..sources import store
 from ..streaming import ingest
 from . import retrieval
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        name = f.__name__.strip("_")
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def literal(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, str):
-        return "'" + x.replace("'", "''") + "'"
-    return "[" + ", ".join(map(literal, x)) + "]" if isinstance(x, (list, tuple)) else repr(x)
-
-
-def values(rows: list[tuple], names: str) -> str:
-    """A FROM item for SQL."""
-    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({names})"
-
-
-def expected(rows: list[tuple], names: str) -> str:
-    """SQL for a result worked out by hand."""
-    return f"SELECT {names} FROM {values(rows, names)}"
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def r6(c, name: str):
-    return F.round(c, 6).alias(name)
-
+from .cases_chunks import PAGES as _PAGES
+from .cases_chunks import pages_of
+from .registry import LINES as _LINES
+from .registry import ORACLE, QUERIES, literal, query, r6, table  # noqa: F401
 
 # ---- texts -------------------------------------------------------------------------------------------------------
 
@@ -75,9 +33,6 @@ def word_count_noise(spark, d):
     return x.select("doc_id", T.word_count(F.col("text")).alias("n_words"), r6(T.noise_ratio(F.col("text")), "noise"))
 
 
-_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
-
-
 @query(f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS n_lines, array_to_string({_LINES}, ' ') AS block FROM documents")
 def line_blocks(spark, d):
     lines = T.block_lines(F.col("text"))
@@ -95,63 +50,11 @@ def heading_prose(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_prose_heading(F.col("line"))).alias("headings"))
 
 
-HEADINGS = [("10.2.1 Gradient Descent", True), ("1 Introduction", True), ("3. It follows that every such sequence converges to a limit point", False), ("Chapter 4 Methods", True), ("RESULTS AND DISCUSSION", True), ("W W W", False), ("Ends with stop.", False), ("", False), ("A plain line", False), ("Appendix B", True)]
-
-
-@query(expected(HEADINGS, "line, heading"))
-def heading_prose_cases(spark, d):
-    return spark.createDataFrame(HEADINGS, "line string, heading boolean").select("line", T.is_prose_heading(F.col("line")).alias("heading"))
-
-
-SECTIONS = [("Achievements & Awards", True, True), ("Skills / Languages", True, True), ("Education and Coursework", True, True), ("Education and lunch", False, False), ("WORK HISTORY", False, True), ("ACME", False, True), ("ABC", False, False), ("- EXPERIENCE", True, True), ("Summary of my very long professional career so far", False, False), ("&", False, False)]
-
-
-@query(expected(SECTIONS, "line, section, heading"))
-def heading_resume(spark, d):
-    x = spark.createDataFrame(SECTIONS, "line string, section boolean, heading boolean")
-    return x.select("line", T.is_resume_section(F.col("line")).alias("section"), T.is_resume_heading(F.col("line")).alias("heading"))
-
-
-DOTS = [("1 Intro ........ 7", "1 Intro … 7"), ("a . . . . b", "a … b"), ("wait...", "wait..."), ("x....", "x … ")]
-
-
-@query(rf"SELECT text, regexp_replace(text, '(?:[ \t]*\.){{4,}}[ \t]*', ' … ', 'g') AS cleaned FROM {values([(a,) for a, _ in DOTS], 'text')}")
-def dot_leaders(spark, d):
-    x = spark.createDataFrame([(a,) for a, _ in DOTS], "text string")
-    return x.select("text", T.dot_leaders(F.col("text")).alias("cleaned"))
-
-
-BULLETS = [("• one ● two", True, "• one|● two"), ("- dash", True, "- dash"), ("plain • tail", False, "plain|• tail"), ("  ◦ x", True, "◦ x"), ("none", False, "none")]
-
-
-@query(expected([(a, b, c) for a, b, c in BULLETS], "text, bullet, parts"))
-def bullet_split(spark, d):
-    x = spark.createDataFrame([(a,) for a, _, _ in BULLETS], "text string")
-    return x.select("text", T.is_bullet(F.col("text")).alias("bullet"), F.array_join(F.transform(T.split_bullets(F.col("text")), T.strip), "|").alias("parts"))
-
-
-HYPHENS = [("learn-\ning rates", ["learning"], "learning rates"), ("well-\nknown fact", ["known"], "well-known fact"), ("no break", [], "no break"), ("a trans-\nform and co-\nop", ["transform"], "a transform and co-op"), ("Über-\nGang", ["übergang"], "ÜberGang")]
-
-
-@query(expected([(a, c) for a, _, c in HYPHENS], "text, joined"))
-def dehyphenate(spark, d):
-    x = spark.createDataFrame([(a, b) for a, b, _ in HYPHENS], "text string, words array<string>")
-    return x.select("text", T.join_hyphenated(F.col("text"), F.col("words")).alias("joined"))
-
-
 @query("SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: lower(x)))) AS BIGINT) AS n_distinct FROM documents")
 def document_vocabulary(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.vocabulary(F.col("text"))).cast("long").alias("n_distinct"))
 
 
-NFKC = [("ﬁne ① Ａ", "fine 1 A"), ("plain", "plain"), (None, None)]
-
-
-@query(expected(NFKC, "text, normal"))
-def nfkc(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in NFKC], "text string").select("text", T.nfkc(F.col("text")).alias("normal"))
-
-
 @query("SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS normal FROM benchmark")
 def evidence_normal(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.evidence_text(F.col("text")).alias("normal"))
@@ -326,82 +229,15 @@ def hybrid_pipeline(spark, d):
     return retrieval.hybrid(_asked(spark, d), _chunks(spark, d))
 
 
-CHUNKS = [("d", 2, 1, "A", "", "prose", "zero two"), ("d", 3, 1, "A", "", "prose", "The rate rises with the temperature of the bath."), ("d", 4, 2, "A", "", "prose", "the temperature of the bath. It then falls."), ("d", 5, 2, "A", "", "prose", "Five."), ("d", 6, 3, "A", "", "prose", "Six."), ("d", 7, 3, "B", "", "prose", "Seven."), ("r", 0, 1, "SKILLS", "t", "resume", "Python")]
-HITS = [(1, 1, "d", 5), (1, 2, "d", 6), (1, 3, "d", 3), (1, 4, "r", 0)]
-_CHUNK = "document_id string, chunk_index bigint, page int, section string, subsection string, document_type string, text string"
-PASSAGES = [(1, 1, 2, "A", "the temperature of the bath. It then falls. Five. Six."), (1, 2, 1, "A", "zero two The rate rises with the temperature of the bath."), (1, 3, 1, "SKILLS", "Python")]
-
-
-def _passages(spark):
-    return ranking.expand(spark.createDataFrame(HITS, "query_id bigint, rank bigint, document_id string, chunk_index bigint"), spark.createDataFrame(CHUNKS, _CHUNK))
-
-
-@query(expected(PASSAGES, "query_id, passage_no, page, section, text"))
-def neighbor_expand(spark, d):
-    return _passages(spark).select("query_id", "passage_no", "page", "section", "text")
-
-
-OVERLAPS = [("start the quick brown fox jumps over", "quick brown fox jumps over it", "start the quick brown fox jumps over it"), ("short same", "same end", "short same same end"), ("a", "b", "a b"), ("x" * 30, "x" * 40, "x" * 40)]
-
-
-@query(expected([(a, b, c) for a, b, c in OVERLAPS], "a, b, merged"))
-def overlap_merge(spark, d):
-    return spark.createDataFrame([(a, b) for a, b, _ in OVERLAPS], "a string, b string").select("a", "b", ranking.merge_overlapping(F.col("a"), F.col("b")).alias("merged"))
-
-
-@query(expected([(1, "\n\n".join(f"[{n}] | page {p} | {s}\n{t}" for _, n, p, s, t in PASSAGES))], "query_id, context"))
-def context_format(spark, d):
-    return ranking.format_context(_passages(spark))
-
-
-@query(expected([(1, ";".join(f"{n}/{p}/{s}/{len(t)}" for _, n, p, s, t in PASSAGES))], "query_id, sources"))
-def source_payload(spark, d):
-    return ranking.sources(_passages(spark)).select("query_id", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["id"], s["page"], s["section"], F.length(s["text"]))), ";").alias("sources"))
-
-
 # ---- stores and uploads ------------------------------------------------------------------------------------------
 
-MODELS = [("sentence-transformers/all-mpnet-base-v2",), ("sentence-transformers/all-MiniLM-L6-v2",), ("an-organisation/with-a-very-long-name-for-a-model-v12-large",), ("--x--",)]
-
-
-@query(f"""WITH s AS (SELECT model, regexp_replace(regexp_replace(model, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM {values(MODELS, 'model')})
-SELECT model, CASE WHEN model = '{store.DEFAULT_MODEL}' THEN 'pdf_documents' ELSE 'pdf_documents__' || CASE WHEN length(slug) > 40 THEN rtrim(left(slug, 31), '_') || '_' || left(sha1(model), 8) ELSE slug END END AS collection FROM s""")
-def collection_name(spark, d):
-    return spark.createDataFrame(MODELS, "model string").select("model", store.collection_name(F.col("model")).alias("collection"))
-
-
 @query("SELECT lang AS document_id, CAST(count(*) AS BIGINT) AS chunks, left(arg_min(text, doc_id), 150) AS preview FROM documents GROUP BY lang")
 def doc_diagnostics(spark, d):
     return store.diagnostics(_chunks(spark, d))
 
 
-UPLOADS = [("text/plain", 10, "%PDF-", 1), ("application/pdf", 30 << 20, "%PDF-", 1), ("application/pdf", 10, "hello", 1), ("application/pdf", 10, "%PDF-1.7", 301), ("application/pdf", 10, "%PDF-1.7", 300), (None, 10, "%PDF-", 1)]
-
-
-@query(f"""SELECT content_type, size, head, pages, CASE WHEN coalesce(content_type, '') <> 'application/pdf' THEN 400 WHEN size > 20971520 THEN 413 WHEN substr(head, 1, 5) <> '%PDF-' THEN 400 WHEN pages > 300 THEN 400 ELSE 202 END AS status_code,
-CASE WHEN coalesce(content_type, '') <> 'application/pdf' THEN 'Only PDF files are accepted.' WHEN size > 20971520 THEN 'The uploaded file is too large.' WHEN substr(head, 1, 5) <> '%PDF-' THEN 'The uploaded file is not a readable PDF.' WHEN pages > 300 THEN 'The uploaded PDF has too many pages.' END AS detail FROM {values(UPLOADS, 'content_type, size, head, pages')}""")
-def upload_validate(spark, d):
-    return store.validate(spark.createDataFrame(UPLOADS, "content_type string, size int, head string, pages int"))
-
-
 # ---- pages and chunks --------------------------------------------------------------------------------------------
 
-def pages_of(spark, d):
-    """Lines as blocks, ten to a page; documents whose id divides by 5 are landscape (synthetic)."""
-    b = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(T.block_lines(F.col("text"))).alias("pos", "block")).withColumn("page", (F.floor(F.col("pos") / 10) + 1).cast("int"))
-    p = b.groupBy("document_id", "page").agg(chunking.ordered(F.col("block"), "pos").alias("blocks"))
-    return p.select("document_id", "page", (F.col("document_id") % 5 == 0).alias("landscape"), "blocks", F.lit(None).cast("array<array<string>>").alias("lines"))
-
-
-_PAGES = f"""b AS (SELECT doc_id AS document_id, unnest({_LINES}) AS block, generate_subscripts({_LINES}, 1) - 1 AS nr FROM documents),
-pg AS (SELECT document_id, CAST((nr - nr % 10) / 10 + 1 AS INT) AS page, nr % 10 AS pos, block, count(*) OVER (PARTITION BY document_id, nr - nr % 10) AS n FROM b),
-nd AS (SELECT document_id, max(page) AS pages FROM pg GROUP BY 1),
-ed AS (SELECT *, (pos < 2 OR pos >= n - 2) AS edge, regexp_replace(lower(block), '\\d+', '#', 'g') AS sig FROM pg),
-cm AS (SELECT document_id, sig, count(DISTINCT page) AS c FROM ed WHERE edge GROUP BY ALL),
-kept AS (SELECT ed.document_id, ed.page, ed.pos, ed.block FROM ed JOIN nd USING (document_id) LEFT JOIN cm ON cm.document_id = ed.document_id AND cm.sig = ed.sig
- WHERE NOT (pages >= 3 AND edge AND (coalesce(c, 0) >= greatest(3, floor(pages / 4)) OR regexp_matches(block, '^\\d{{1,4}}$'))))"""
-
-
 @query(f"WITH {_PAGES} SELECT document_id, page, CAST(count(*) AS BIGINT) AS n_blocks, string_agg(block, '|' ORDER BY pos) AS blocks FROM kept GROUP BY ALL")
 def strip_furniture(spark, d):
     p = chunking.strip_repeated(pages_of(spark, d)).filter(F.size("blocks") > 0)
@@ -415,45 +251,6 @@ def classify(spark, d):
     return chunking.classify(pages_of(spark, d)).select("document_id", "document_type", F.array_join("reasons", "; ").alias("reasons"))
 
 
-RESUME_PAGE = [("cv", 1, False, ["Ann Lee", "a@b.co +1 555 000 1111"], [["Ann Lee", "a@b.co +1 555 000 1111"], ["EDUCATION", "2021 BSc Mathematics", "Some University"], ["EXPERIENCE", "Intern - Acme", "June", "- Built pipelines", "and REST services.", "Analyst - Beta", "- Wrote reports."], ["Skills & Languages", "Python", "SQL"]])]
-_PAGE = "document_id string, page int, landscape boolean, blocks array<string>, lines array<array<string>>"
-RESUME_CHUNKS = [("cv", 0, "", "Ann Lee a@b.co +1 555 000 1111"), ("cv", 1, "EDUCATION", "EDUCATION > 2021 BSc Mathematics Some University"), ("cv", 2, "EXPERIENCE", "EXPERIENCE > Intern - Acme June\n- Built pipelines and REST services."), ("cv", 3, "EXPERIENCE", "EXPERIENCE > Analyst - Beta\n- Wrote reports."), ("cv", 4, "Skills & Languages", "Skills & Languages > Python SQL")]
-
-
-@query(expected(RESUME_CHUNKS, "document_id, chunk_index, section, text"))
-def resume_chunks(spark, d):
-    return chunking.chunk(spark.createDataFrame(RESUME_PAGE, _PAGE)).select("document_id", "chunk_index", "section", "text")
-
-
-DECK = [("deck", 1, True, ["Part One"], None), ("deck", 2, True, ["Trees", "A tree is a graph. It has no cycles at all."], None), ("deck", 3, True, ["A first block that has so many words that it is no title here.", "More."], None), ("deck", 4, True, ["Thanks"], None)]
-SLIDE_CHUNKS = [("deck", 0, 2, "Trees", "Part One > Trees\nA tree is a graph. It has no cycles at all."), ("deck", 1, 3, "", "A first block that has so many words that it is no title here. More.")]
-
-
-@query(expected(SLIDE_CHUNKS, "document_id, chunk_index, page, subsection, text"))
-def slide_chunks(spark, d):
-    return chunking.chunk(spark.createDataFrame(DECK, _PAGE)).select("document_id", "chunk_index", "page", "subsection", "text")
-
-
-BOOK = [("book", 1, False, ["1 Start", "The first sentence. It goes on", "= x y + 1", "@ # % ^"], None), ("book", 2, False, ["over the page. Done.", "2 Next Part", "Another one."], None)]
-PROSE_CHUNKS = [("book", 0, 1, "1 Start", "The first sentence. It goes on = x y + 1 over the page. Done."), ("book", 1, 2, "2 Next Part", "Another one.")]
-
-
-@query(expected([("book", 0, 1, "1 Start", "The first sentence. It goes on = x y + 1 over the page. Done."), PROSE_CHUNKS[1]], "document_id, chunk_index, page, section, text"))
-def prose_chunk_cases(spark, d):
-    x = chunking.chunk(spark.createDataFrame(BOOK, _PAGE)).select("document_id", "chunk_index", "page", "section", "text")
-    return x
-
-
-@query()
-def prose_chunks(spark, d):
-    return chunking.prose_chunks(pages_of(spark, d))
-
-
-@query()
-def prose_chunks_repacked(spark, d):
-    return chunking.prose_chunks_repacked(pages_of(spark, d))
-
-
 _SENT = r"list_filter(string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 
@@ -470,37 +267,6 @@ def pack_units(spark, d):
     return g.select("doc_id", F.col("grp").cast("long").alias("grp"), size.cast("long").alias("sentences"), F.aggregate(F.slice("w", F.col("g.s") + 1, size), F.lit(0).cast("long"), lambda a, b: a + b).alias("words"))
 
 
-# ---- recognized layout -------------------------------------------------------------------------------------------
-
-BOXES = ([("p", 1, 1000.0, f"left {i}", 50.0, 450.0, 30.0 * i, 30.0 * i + 20) for i in range(6)] + [("p", 1, 1000.0, f"right {i}", 550.0, 950.0, 30.0 * i, 30.0 * i + 20) for i in range(6)]
-         + [("q", 1, 1000.0, "Intern", 50.0, 200.0, 0.0, 20.0), ("q", 1, 1000.0, "June", 800.0, 900.0, 2.0, 22.0), ("q", 1, 1000.0, "Built things", 50.0, 400.0, 25.0, 45.0), ("q", 1, 1000.0, "1 2 3", 50.0, 400.0, 200.0, 220.0)])
-_BOX = "document_id string, page int, width double, text string, x0 double, x1 double, y0 double, y1 double"
-_BOXN = "document_id, page, width, text, x0, x1, y0, y1"
-
-
-@query(f"SELECT document_id, page, count(*) FILTER (x1 - x0 BETWEEN 0.3 * width AND 0.5 * width AND x1 <= 0.55 * width) >= greatest(4, 0.25 * count(*)) AND count(*) FILTER (x1 - x0 BETWEEN 0.3 * width AND 0.5 * width AND x0 >= 0.45 * width) >= greatest(4, 0.25 * count(*)) AS two_column FROM {values(BOXES, _BOXN)} GROUP BY ALL")
-def ocr_two_column(spark, d):
-    return layout.two_column(spark.createDataFrame(BOXES, _BOX))
-
-
-@query(expected([("q", 0, "Intern June"), ("q", 1, "Built things"), ("q", 2, "1 2 3")], "document_id, row, text"))
-def ocr_merge_rows(spark, d):
-    return layout.merge_rows(spark.createDataFrame(BOXES[12:], _BOX)).select("document_id", "row", "text")
-
-
-@query(expected([("p", 0, "\n".join(f"left {i}" for i in range(6))), ("p", 1, "\n".join(f"right {i}" for i in range(6))), ("q", 0, "Intern June\nBuilt things"), ("q", 1, "1 2 3")], "document_id, pos, text"))
-def ocr_stack_blocks(spark, d):
-    return layout.blocks(spark.createDataFrame(BOXES, _BOX)).select("document_id", "pos", "text")
-
-
-CONFIDENCE = [("a", None), ("b", 0.98), ("b", None), ("c", 0.95), ("c", 0.78)]
-
-
-@query(f"SELECT document_id, CASE WHEN avg(ocr_confidence) < 0.9 THEN 'low' WHEN avg(ocr_confidence) IS NOT NULL THEN 'good' END AS quality FROM {values(CONFIDENCE, 'document_id, ocr_confidence')} GROUP BY document_id")
-def ocr_quality(spark, d):
-    return layout.ocr_quality(spark.createDataFrame(CONFIDENCE, "document_id string, ocr_confidence double"))
-
-
 # ---- conversations -----------------------------------------------------------------------------------------------
 
 def _last_users(spark, d):
@@ -531,38 +297,11 @@ def rewrite_prompt(spark, d):
     return c.select("conv_id", h.alias("history"), F.length(h).cast("long").alias("n"))
 
 
-ANSWERS = [(1, "First line\nsecond line\n\n- a\n- b\n\n- c\nafter\n1. x\n2) y", 3), (2, "See [1][3] and [1, 2] but not [4] or [1][9].", 3), (3, "**bold** `code` ** ** ``", 0), (4, "", 1)]
-_ANS = "answer_id bigint, text string, n_sources int"
-ANSWER_BLOCKS = [(1, 1, "paragraph", "First line second line"), (1, 2, "bullets", "a\nb\nc"), (1, 3, "paragraph", "after"), (1, 4, "numbered", "x\ny"), (2, 1, "paragraph", ANSWERS[1][1]), (3, 1, "paragraph", ANSWERS[2][1])]
-
-
-@query(expected(ANSWER_BLOCKS, "answer_id, block_no, kind, text"))
-def answer_blocks(spark, d):
-    return C.answer_blocks(spark.createDataFrame(ANSWERS, _ANS))
-
-
-@query(expected([(2, "[1][3]", "1,3", True), (2, "[1, 2]", "1,2", True), (2, "[4]", "4", False), (2, "[1][9]", "1,9", False)], "answer_id, run, ids, cited"))
-def citations(spark, d):
-    x = spark.createDataFrame(ANSWERS, _ANS).select("answer_id", F.inline(C.citation_runs(F.col("text"), F.col("n_sources"))))
-    return x.select("answer_id", "run", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), "cited")
-
-
-@query(expected([(1, ""), (2, ""), (3, "**bold**|`code`|** **"), (4, "")], "answer_id, marks"))
-def inline_marks(spark, d):
-    return spark.createDataFrame(ANSWERS, _ANS).select("answer_id", F.array_join(C.inline_marks(F.col("text")), "|").alias("marks"))
-
-
 @query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
 def sse_encode(spark, d):
     return table(spark, d, "events").select("event_id", C.sse_event(F.col("event_type"), F.col("props")).alias("frame"))
 
 
-@query("SELECT event_id, event_type AS event, props AS data FROM events")
-def sse_decode(spark, d):
-    s = table(spark, d, "events").select("event_id", C.sse_event(F.col("event_type"), F.col("props")).alias("s"))
-    return s.select("event_id", F.inline(C.sse_frames(F.concat("s", F.lit("event: cut off")))))
-
-
 # ---- status ------------------------------------------------------------------------------------------------------
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS event_id FROM events GROUP BY user_id""")
@@ -571,15 +310,6 @@ def job_status_latest(spark, d):
     return ingest.latest(e.withColumn("seq", F.col("event_id")), "user_id").select("user_id", "status", "event_id")
 
 
-STEPS = [("a", 1, "reading", 0, 0, False), ("a", 2, "embedding", 0, 2, False), ("a", 3, "embedding", 1, 2, False), ("a", 4, "saving", 0, 0, False), ("b", 1, "recognizing", 1, 2, True), ("b", 2, "embedding", 0, 3, True), ("b", 3, "embedding", 1, 3, True)]
-
-
-@query(f"""SELECT document_id, seq, CAST(trunc(CASE stage WHEN 'recognizing' THEN 60.0 * done / total WHEN 'embedding' THEN (CASE WHEN ocr THEN 60 ELSE 10 END) + (95.0 - CASE WHEN ocr THEN 60 ELSE 10 END) * done / total WHEN 'saving' THEN 95 ELSE 0 END) AS INT) AS percent FROM {values(STEPS, 'document_id, seq, stage, done, total, ocr')}""")
-def job_progress(spark, d):
-    x = spark.createDataFrame(STEPS, "document_id string, seq int, stage string, done int, total int, ocr boolean")
-    return x.select("document_id", "seq", ingest.progress(F.col("stage"), F.col("done"), F.col("total"), F.col("ocr")).alias("percent"))
-
-
 # ---- evaluation --------------------------------------------------------------------------------------------------
 
 _GOLD = r"gold AS (SELECT DISTINCT b.item_id AS query_id, d.lang AS document_id, d.doc_id AS chunk_index FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '[^\p{L}\p{N}]', '', 'g'), regexp_replace(lower(b.text), '[^\p{L}\p{N}]', '', 'g')))"
@@ -643,21 +373,4 @@ def hit_mrr_pagehit_all(spark, d):
     return evaluation.hit_metrics(j, asked.withColumn("pages", F.array(item % 7)))
 
 
-@query(f"WITH {_GOLD} SELECT item_id AS query_id, text AS phrase, 'missing from extraction' AS verdict FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM gold)")
-def evidence_coverage(spark, d):
-    return evaluation.evidence_coverage(_queries(spark, d).withColumnRenamed("text", "phrase"), _chunks(spark, d).withColumn("document_id", F.col("chunk_index")))
-
-
-GRADES = [(1, "answerable", True, False, False), (2, "answerable", True, True, False), (3, "unanswerable", False, True, False), (4, "answerable", False, False, True), (5, "answerable", False, False, True), (6, "unanswerable", False, False, True), (7, "answerable", True, False, False)]
-
-
-@query(expected([("answerable", 1, 4, 2), ("unanswerable", 1, 2, 1)], "kind, passed, total, errors"))
-def answer_keyword_grade(spark, d):
-    x = spark.createDataFrame(GRADES, "seq int, kind string, has_keywords boolean, refused boolean, error boolean")
-    return evaluation.grade_summary(evaluation.grade_answers(x))
-
-
-@query()
-def ingestion_diagnostics(spark, d):
-    p = pages_of(spark, d)
-    return evaluation.ingestion_diagnostics(p, chunking.prose_chunks(p))
+from . import cases_answers, cases_layout, cases_retrieval, cases_status  # noqa: E402, F401

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,6 +26,38 @@ def outcome(pages: Column, chunks: Column, error: Column) -> Column:
     return F.when(error.isNotNull() | (F.coalesce(pages, F.lit(0)) == 0) | (F.coalesce(chunks, F.lit(0)) == 0), "failed").otherwise("ready")
 
 
+#: Steps of an upload between its acceptance and its end.
+STEPS = ("reading", "recognizing", "embedding", "saving")
+
+
+def states(log: DataFrame) -> DataFrame:
+    """document_id, seq, status of each event of a log (document_id, seq, step, pages, chunks, error): pending, processing, then ready or failed.
+
+    An error fails the document at any step, and what comes after does not change that.
+    """
+    own = F.when(F.col("error").isNotNull(), "failed").when(F.col("step") == "done", outcome(F.col("pages"), F.col("chunks"), F.col("error"))).when(F.col("step").isin(*STEPS), "processing").otherwise("pending")
+    failed = F.max(F.col("own") == "failed").over(Window.partitionBy("document_id").orderBy("seq"))
+    return log.withColumn("own", own).withColumn("failed", failed).select("document_id", "seq", F.when(F.col("failed"), "failed").otherwise(F.col("own")).alias("status"))
+
+
+def poll(status_of: Callable[[], str | None], every: float = 0.4, most: int | None = None, sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """The first status that ends an upload (ready or failed), asked for every so many seconds; None after most questions."""
+    asked = 0
+    while most is None or asked < most:
+        asked += 1
+        if (status := status_of()) in ("ready", "failed"):
+            return status
+        sleep(every)
+    return None
+
+
+def with_request_id(requests: DataFrame, failed: Column) -> DataFrame:
+    """requests with a request_id of their own and the response's status_code and detail: an unexpected failure says nothing but the id."""
+    from ..sources.store import INTERNAL
+
+    return requests.withColumns({"request_id": F.uuid(), "status_code": F.when(failed, 500).otherwise(200), "detail": F.when(failed, INTERNAL)})
+
+
 def latest(events: DataFrame, key: str = "document_id", seq: str = "seq") -> DataFrame:
     """The newest event of each document, by partial aggregation."""
     rest = [c for c in events.columns if c != key]
@@ -47,10 +80,14 @@ def ready_summary(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     return p.join(n, "document_id", "left").select("document_id", "pages", F.coalesce("chunks", F.lit(0)).alias("chunks"), "ocr_pages", quality.alias("ocr_quality"))
 
 
+#: What a client shows for a stage.
+READING, INDEXING, SAVING = "Reading the document…", "Indexing the document for search…", "Saving…"
+
+
 def stage_text(stage: Column, done: Column, total: Column) -> Column:
     """What a client shows for a stage."""
     scanned = F.concat(F.lit("This PDF is scanned. Reading page "), F.coalesce(done.cast("string"), F.lit("0")), F.lit(" of "), F.coalesce(total.cast("string"), F.lit("?")), F.lit(" with text recognition…"))
-    return F.when(stage == "recognizing", scanned).when(stage == "embedding", "Indexing the document for search…").when(stage == "saving", "Saving…").otherwise("Reading the document…")
+    return F.when(stage == "recognizing", scanned).when(stage == "embedding", INDEXING).when(stage == "saving", SAVING).otherwise(READING)
 
 
 def error_detail(body: Column, fallback: Column) -> Column:
@@ -72,15 +109,28 @@ def answer_events(answers: DataFrame) -> DataFrame:
 
 
 def stream_pages(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Pages arriving as JSON files are chunked and appended once: a batch that runs again replaces its own folder."""
+    """Pages arriving as JSON files are kept, and the documents they belong to chunked anew from all their pages so far; see read_chunks.
+
+    Each batch has folders of its own, so one that runs again replaces them.
+    """
     pages = spark.readStream.schema(schema).json(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunk(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/pages/batch={batch_id}")
+        seen = spark.read.option("basePath", f"{out}/pages").parquet(f"{out}/pages").filter(F.col("batch") <= batch_id)
+        touched = seen.filter(F.col("batch") == batch_id).select("document_id").distinct()
+        chunk(seen.drop("batch").join(touched, "document_id", "left_semi")).write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
+        touched.write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks of stream_pages: of each document those of the last batch that touched it."""
+    last = spark.read.parquet(f"{out}/touched").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/chunks").join(last, ["document_id", "batch"], "left_semi").drop("batch")
+
+
 def stream_latest(events: DataFrame, key: str = "document_id", seq: str = "seq") -> DataFrame:
     """The newest event of each document of a stream, kept as state; for output mode update or complete."""
     rest = [c for c in events.columns if c != key]
