@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from folio.functions import conversation as C
 from folio.operators import chunking, evaluation, ranking
-from folio.plans import catalogue, retrieval
-from folio.providers import Retry, with_fallback
+from folio.plans import retrieval
+from folio.functions import text
+from folio.providers import Lazy, Retry, hash_embedding, route_pages, warm_up, with_fallback
 from folio.sources import store
 from folio.streaming import ingest
 
-PAGE = catalogue._PAGE
+PAGE = "document_id string, page int, landscape boolean, blocks array<string>, lines array<array<string>>"
 
 
 def test_repacking_repeats_the_overlap_and_one_pass_does_not(spark):
@@ -78,7 +79,15 @@ def test_store_appends_scans_and_looks_up(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}")
     rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "document_id string, chunk_index int, text string")
     s.add(rows)
-    assert s.scan("a").count() == 2 and "PartitionFilters: [isnotnull(document_id" in s.scan("a")._jdf.queryExecution().toString()
+    s.add(spark.createDataFrame([(f"d{i}", 0, "w") for i in range(600)], "document_id string, chunk_index int, text string"))
+    assert len([f for f in (tmp_path / "pdf_documents").iterdir() if f.name.startswith("bucket=")]) <= 256
+    assert s.scan("a").columns == ["document_id", "chunk_index", "text"]
+    assert s.scan("a").count() == 2 and "PartitionFilters: [isnotnull(bucket" in s.scan("a")._jdf.queryExecution().toString()
+    with store.isolated(spark) as own:
+        own.add(rows)
+        assert own.scan("b").count() == 1
+    with pytest.raises(Exception):
+        own.scan("b")
     assert [r["text"] for r in s.get(spark.createDataFrame([("b", 0), ("b", 9)], "document_id string, chunk_index int")).collect()] == ["z"]
     store.report(rows.withColumn("context", F.lit("c")), f"file://{tmp_path}/report")
     assert "context" not in spark.read.json(f"file://{tmp_path}/report").columns
@@ -111,7 +120,11 @@ def test_stream_of_pages_is_chunked_once(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps({"document_id": "d", "page": 1, "landscape": False, "blocks": ["One sentence. Two."], "lines": None}) + "\n")
     for _ in range(2):
         ingest.stream_pages(spark, str(tmp_path / "in"), PAGE, str(tmp_path / "out"), str(tmp_path / "cp"), chunking.prose_chunks).awaitTermination(60)
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["One sentence. Two."]
+    assert [r["text"] for r in ingest.read_chunks(spark, str(tmp_path / "out")).collect()] == ["One sentence. Two."]
+    # a page that comes later is chunked with the document's others
+    (tmp_path / "in" / "b.json").write_text("\n".join(json.dumps({"document_id": i, "page": 2, "landscape": False, "blocks": ["Three."], "lines": None}) for i in "de") + "\n")
+    ingest.stream_pages(spark, str(tmp_path / "in"), PAGE, str(tmp_path / "out"), str(tmp_path / "cp"), chunking.prose_chunks).awaitTermination(60)
+    assert sorted((r["document_id"], r["chunk_index"], r["text"]) for r in ingest.read_chunks(spark, str(tmp_path / "out")).collect()) == [("d", 0, "One sentence. Two. Three."), ("e", 0, "Three.")]
 
 
 def test_retry_and_fallback():
@@ -133,3 +146,70 @@ def test_answer_messages_keep_history(spark):
     h = F.array(F.struct(F.lit("user").alias("role"), F.lit("q1").alias("content")))
     m = spark.range(1).select(C.answer_messages(F.lit("s"), h, F.lit("ctx"), F.lit("q2"))).first()[0]
     assert [x["role"] for x in m] == ["system", "user", "user"] and "<document_context>\nctx\n</document_context>" in m[2]["content"]
+
+
+def test_index_answers_as_texts_do_and_is_made_once_for_each_version(spark, tmp_path):
+    chunks = spark.createDataFrame([("d", i, t) for i, t in enumerate(["cat", "dog", "", "cat cat dog"])] + [("e", 0, "cat")], "document_id string, chunk_index int, text string")
+    q = spark.createDataFrame([(1, "cat"), (2, "zebra dog")], "query_id int, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    index = ranking.Index(chunks, f"file://{tmp_path}", "1")
+    assert rows(index.bm25(q, 3)) == rows(ranking.bm25(q, chunks, 3))
+    more = chunks.unionByName(spark.createDataFrame([("e", 1, "dog")], chunks.schema))
+    assert rows(ranking.Index(more, f"file://{tmp_path}", "1").bm25(q, 3)) == rows(ranking.bm25(q, chunks, 3))
+    assert rows(ranking.Index(more, f"file://{tmp_path}", "2").bm25(q, 3)) == rows(ranking.bm25(q, more, 3))
+
+
+def test_fused_rows_carry_the_later_list(spark):
+    row = lambda c, p: spark.createDataFrame([(1, "d", c, 1, p)], "query_id int, document_id string, chunk_index int, rank int, page string")
+    got = {r["chunk_index"]: r["page"] for r in ranking.fuse([row(1, "a"), row(1, "b").unionByName(row(2, "c"))], payload=("page",)).collect()}
+    assert got == {1: "b", 2: "c"}
+
+
+def test_routing_only_where_enabled_and_available(spark):
+    pages = spark.createDataFrame([("d", 1, ["x"]), ("d", 2, []), ("d", 3, None)], "document_id string, page int, blocks array<string>")
+    seen = lambda p: p.withColumns({"blocks": F.when(F.col("page") == 2, F.array(F.lit("seen"))).otherwise(F.array().cast("array<string>")), "ocr_confidence": F.lit(0.95)})
+    assert sorted((r["page"], r["ocr"], r["ocr_confidence"]) for r in route_pages(pages, seen).collect()) == [(1, False, None), (2, True, 0.95)]
+    asked = []
+    assert [r["page"] for r in route_pages(pages, seen, enabled=False, available=lambda: asked.append(1)).collect()] == [1] and not asked
+    assert [r["page"] for r in route_pages(pages, seen, available=Lazy(lambda: 1 / 0).available).collect()] == [1]
+
+
+def test_lazy_models_and_warm_up(spark):
+    calls = []
+    model = Lazy(lambda: calls.append(1) or "model")
+    assert model.available() and model.get() == "model" and model.get() == "model" and calls == [1]
+    broken = Lazy(lambda: calls.append(2) or 1 / 0)
+    assert not broken.available() and not broken.available() and calls == [1, 2]
+    with pytest.raises(RuntimeError):
+        broken.get()
+    assert warm_up(spark, hash_embedding) == 1
+
+
+def test_polling_ends_with_the_upload():
+    waits, said = [], iter(["pending", "processing", "failed", "ready"])
+    assert ingest.poll(lambda: next(said), sleep=waits.append) == "failed" and waits == [0.4, 0.4]
+    assert ingest.poll(lambda: None, most=3, sleep=waits.append) is None
+
+
+def test_figures_of_a_benchmark(spark):
+    seconds = evaluation.timed(extract=lambda: spark.range(3), chunk=lambda: 1)
+    assert list(seconds) == ["extract", "chunk"] and all(v >= 0 for v in seconds.values())
+    assert evaluation.latency(3.0, 2) == 1.5 and evaluation.latency(3.0, 0) == 0.0
+    assert [evaluation.request_delay(v) for v in (None, "2.5", "-1", "x")] == [5.0, 2.5, 0.0, 5.0]
+    r = spark.createDataFrame([(2, None, 0.5, "b"), (1, 7, 1.0, "a"), (11, 1, 0.1, "c")], "rank int, page int, score double, text string")
+    assert evaluation.print_ranking(r) == ["1. page 7 score 1.0000 a", "2. page ? score 0.5000 b"]
+
+
+def test_hyphens_are_joined_left_to_right(spark):
+    cases = [("learn-\ning rates", ["learning"], "learning rates"), ("well-\nknown fact", ["known"], "well-known fact"), ("a trans-\nform and co-\nop", ["transform"], "a transform and co-op"),
+             ("\u00dcber-\nGang", ["\u00fcbergang"], "\u00dcberGang"), ("a-\nb-\nc-\nd", ["ab", "cd"], "ab-\ncd"), ("a-\nb-\nc", [], "a-b-\nc"), (None, [], None), ("", [], "")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, text string, words array<string>")
+    assert [r[0] for r in df.orderBy("i").select(text.join_hyphenated(F.col("text"), F.col("words"))).collect()] == [c for _, _, c in cases]
+
+
+def test_phrases_of_every_length_are_found(spark, monkeypatch):
+    chunks = spark.createDataFrame([("d", i, t) for i, t in enumerate(["a cat sat", "the ca-t", "dog", ""])], "document_id string, chunk_index int, text string")
+    q = spark.createDataFrame([(1, "cat"), (2, "a c"), (3, "o"), (4, "zz"), (5, "")], "query_id int, phrase string")
+    for short in (256, 0):
+        monkeypatch.setattr(evaluation, "SHORT", short)
+        assert {(r["query_id"], r["chunk_index"]) for r in evaluation.relevant_chunks(q, chunks).collect()} == {(1, 0), (1, 1), (2, 0), (3, 2)}
