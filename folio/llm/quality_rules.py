@@ -172,3 +172,12 @@ def oracle_sql(policy: str) -> str:
            (fail_bits & {mask('base')}) <> 0 AS base_failed,
            (fail_bits & {mask('base') | mask(policy)}) = 0 AS kept
     FROM b"""
+
+
+def ablation_sql(policy: str) -> str:
+    rules = ", ".join(f"('{r}', {BIT[r]})" for r in POLICIES[policy])
+    bits = f"(fail_bits & {mask(policy)})"
+    return f"""
+    WITH book AS ({oracle_sql(policy)}), rules AS (SELECT * FROM (VALUES {rules}) v(rule, bit))
+    SELECT rule, CAST(count(*) FILTER ({bits} & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER ({bits} = bit) AS BIGINT) AS rejected_alone,
+           CAST(count(*) FILTER ({bits} & bit = {bits}) AS BIGINT) AS kept_without FROM book CROSS JOIN rules GROUP BY rule"""

@@ -53,6 +53,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), POLICY)
 
 
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, alone and with others, from the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(_table(spark, sf_dir, "documents")), POLICY).drop("seen_bits")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), Workspace(spark, "suffix")).drop("kept")
 
@@ -82,8 +87,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_warc_round_trip, op3_ngram_jaccard_join, op4_quality_rules, op5_suffix_dedup, op6_exact_top_k, op7_best_fit_packing, op8_language_id, op9_source_mixing, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_warc_round_trip, op3_ngram_jaccard_join, op4_quality_rules, op5_suffix_dedup, op6_exact_top_k, op7_best_fit_packing, op8_language_id, op9_source_mixing, op10_pii_pseudonyms, quality_rules_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": warc.oracle_sql(), "op6_exact_top_k": topk.oracle_sql(), "op4_quality_rules": quality_rules.oracle_sql(POLICY), "op9_source_mixing": mixing.oracle_sql()}
+    return {"op2_warc_round_trip": warc.oracle_sql(), "op6_exact_top_k": topk.oracle_sql(), "op4_quality_rules": quality_rules.oracle_sql(POLICY), "quality_rules_ablation": quality_rules.ablation_sql(POLICY), "op9_source_mixing": mixing.oracle_sql()}
