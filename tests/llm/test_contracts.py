@@ -310,6 +310,24 @@ def test_boundary_and_prefix():
                 assert links[0] == jaccard_join.least_common(n, m) and jaccard_join.prefix(n) > n - links[0]
 
 
+@pytest.mark.parametrize("hubs, degree", [(1 << 16, 64), (2, 3), (1 << 16, 0)])
+def test_components_are_brute_force_with_hubs_and_without(spark, monkeypatch, hubs, degree):
+    monkeypatch.setattr(components, "HUBS", hubs)
+    monkeypatch.setattr(components, "HUB_DEGREE", degree)
+    rng = random.Random(hubs + degree)
+    links = [(500, x) for x in range(400, 480)] + [(1, x) for x in range(300, 390)] + [(390, 389), (rng.randrange(400, 480), 700)]
+    links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(2000 + k, 2001 + k) for k in range(9)]
+    links += [(None, 5), (6, None), (7, 7), (1, 300), (300, 1)]
+    root = {x: x for a, b in links for x in (a, b) if a is not None and b is not None and a != b}
+    for _ in root:
+        for a, b in links:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t")).collect()
+    assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+    assert components.components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).collect() == []
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (7, 7), (10, 3)] + [(20 + i, 21 + i) for i in range(30)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t")).collect()}
