@@ -107,86 +107,32 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("label").alias("document_id"), F.col("vec_id").alias("chunk_index"), F.col("embedding").alias("vector"))
 
 
-def _vector_queries(spark, d):
-    v = _vectors(spark, d)
-    return v.groupBy("document_id").agg(F.min_by("vector", "chunk_index").alias("vector")).withColumn("query_id", F.col("document_id"))
-
-
-_FIRST = "SELECT document_id AS query_id, document_id, arg_min(v, chunk_index) AS q FROM v GROUP BY document_id"
 _FIFTIETH = "SELECT chunk_index AS query_id, document_id, v AS q FROM v WHERE chunk_index % 50 = 0"
 
 
-def _knn_sql(score: str, order: str, asked: str = _FIRST) -> str:
+def _knn_sql(score: str, order: str) -> str:
     return f"""WITH v AS (SELECT label AS document_id, vec_id AS chunk_index, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-q AS ({asked}),
+q AS ({_FIFTIETH}),
 s AS (SELECT query_id, v.document_id, chunk_index, round({score}, 6) + 0.0 AS score FROM q JOIN v USING (document_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, chunk_index) AS rank FROM s)
 SELECT query_id, document_id, chunk_index, CAST(rank AS BIGINT) AS rank, score FROM r WHERE rank <= 10"""
 
 
-@query(_knn_sql("list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "ASC"))
-def knn_l2_topk(spark, d):
-    return ranking.knn(_vector_queries(spark, d), _vectors(spark, d), 10).withColumn("score", F.col("score") + 0.0)
-
-
-@query(_knn_sql("list_cosine_similarity(q, v)", "DESC"))
-def knn_cosine_topk(spark, d):
-    return ranking.knn(_vector_queries(spark, d), _vectors(spark, d), 10, "cosine").withColumn("score", F.col("score") + 0.0)
-
-
-# The two above ask one query for each label, as their SQL does; those in _all ask every vector whose id is divisible by 50.
-
 def _fiftieth(spark, d):
     return _vectors(spark, d).filter("chunk_index % 50 = 0").withColumn("query_id", F.col("chunk_index"))
 
 
-@query(_knn_sql("list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "ASC", _FIFTIETH))
-def knn_l2_topk_all(spark, d):
+@query(_knn_sql("list_sum(list_transform(list_zip(q, v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "ASC"))
+def knn_l2_topk(spark, d):
     return ranking.knn(_fiftieth(spark, d), _vectors(spark, d), 10).withColumn("score", F.col("score") + 0.0)
 
 
-@query(_knn_sql("list_cosine_similarity(q, v)", "DESC", _FIFTIETH))
-def knn_cosine_topk_all(spark, d):
+@query(_knn_sql("list_cosine_similarity(q, v)", "DESC"))
+def knn_cosine_topk(spark, d):
     return ranking.knn(_fiftieth(spark, d), _vectors(spark, d), 10, "cosine").withColumn("score", F.col("score") + 0.0)
 
 
 _OV = f"(CASE WHEN len(list_distinct({_BT.format('q.text')})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({_BT.format('q.text')}), list_distinct({_BT.format('c.text')}))) / CAST(len(list_distinct({_BT.format('q.text')})) AS DOUBLE) END)"
-_EN = "SELECT * FROM bm WHERE document_id = 'en'"
-#: A second ranking of the same rows: by length, as a stand-in.
-_LEN = "SELECT query_id, document_id, chunk_index, CAST(rank AS BIGINT) AS rank FROM (SELECT item_id AS query_id, lang AS document_id, doc_id AS chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text) DESC, doc_id) AS rank FROM benchmark CROSS JOIN documents d WHERE lang = 'en') WHERE rank <= 10"
-_FUSED = f"""{_BM25}, l0 AS ({_EN}), l1 AS ({_LEN}),
-u AS (SELECT query_id, document_id, chunk_index, rank, 0 AS l FROM l0 UNION ALL SELECT query_id, document_id, chunk_index, rank, 1 FROM l1),
-f AS (SELECT query_id, document_id, chunk_index, sum(1.0::DOUBLE / (60 + rank)) AS score, min(l * 1000 + rank) AS seen FROM u GROUP BY ALL),
-fu AS (SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, document_id, chunk_index) AS BIGINT) AS rank, score FROM f)"""
-
-
-def _two(spark, d):
-    en = _chunks(spark, d).filter("document_id = 'en'")
-    longest = en.select("document_id", "chunk_index", F.length("text").alias("n")).orderBy(F.desc("n"), "chunk_index").limit(10)
-    w = ranking.Window.orderBy(F.desc("n"), "chunk_index")  # ten rows
-    by_length = longest.withColumn("rank", F.row_number().over(w).cast("long")).crossJoin(F.broadcast(_queries(spark, d).select("query_id")))
-    return ranking.bm25(_queries(spark, d), en, 10), by_length
-
-
-def _fused(spark, d):
-    return ranking.fuse(list(_two(spark, d)))
-
-
-@query(f"WITH {_FUSED} SELECT query_id, document_id, chunk_index, rank, round(score, 6) AS score FROM fu WHERE rank <= 6")
-def rrf_fusion(spark, d):
-    return ranking.first(_fused(spark, d), 6).withColumn("score", F.round("score", 6))
-
-
-@query(f"""WITH {_FUSED}, s AS (SELECT fu.query_id, fu.document_id, fu.chunk_index, fu.rank AS before, round({_OV}, 6) AS score FROM fu JOIN benchmark q ON q.item_id = fu.query_id JOIN documents c ON c.doc_id = fu.chunk_index WHERE rank <= 6)
-SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS BIGINT) AS rank, score FROM s
-UNION ALL SELECT query_id, document_id, chunk_index, rank, round(score, 6) FROM fu WHERE rank > 6""")
-def rerank_overlap(spark, d):
-    out = ranking.rerank(_fused(spark, d), _queries(spark, d), _chunks(spark, d).filter("document_id = 'en'"), keep_rest=True)
-    return out.withColumn("score", F.round("score", 6))
-
-
-# The SQL of the two queries above, as of two under evaluation, has one language only; those in _all have every language.
-
 def _asked(spark, d):
     """Each query asked of each language: a query of its own, query_id and language joined by a colon."""
     languages = _chunks(spark, d).select("document_id").filter("document_id IS NOT NULL").distinct()
@@ -194,7 +140,8 @@ def _asked(spark, d):
 
 
 _ASKED = "b AS (SELECT item_id || ':' || lang AS query_id, lang AS document_id, item_id, text FROM benchmark CROSS JOIN (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"
-_FUSED_ALL = f"""{_BM25}, {_ASKED},
+#: The second ranking of each language: its longest texts, as a stand-in.
+_FUSED = f"""{_BM25}, {_ASKED},
 l0 AS (SELECT query_id || ':' || document_id AS query_id, document_id, chunk_index, rank FROM bm),
 l1 AS (SELECT b.query_id, document_id, chunk_index, rank FROM b JOIN (SELECT lang AS document_id, doc_id AS chunk_index, CAST(row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS BIGINT) AS rank FROM documents) USING (document_id) WHERE rank <= 10),
 u AS (SELECT query_id, document_id, chunk_index, rank, 0 AS l FROM l0 UNION ALL SELECT query_id, document_id, chunk_index, rank, 1 FROM l1),
@@ -202,7 +149,7 @@ f AS (SELECT query_id, document_id, chunk_index, sum(1.0::DOUBLE / (60 + rank))
 fu AS (SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, document_id, chunk_index) AS BIGINT) AS rank, score FROM f)"""
 
 
-def _fused_all(spark, d):
+def _fused(spark, d):
     chunks, asked = _chunks(spark, d), _asked(spark, d)
     w = ranking.Window.partitionBy("document_id").orderBy(F.desc("n"), "chunk_index")
     longest = chunks.select("document_id", "chunk_index", F.length("text").alias("n")).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
@@ -210,16 +157,16 @@ def _fused_all(spark, d):
     return ranking.fuse([ranking.bm25(asked, chunks, 10), by_length])
 
 
-@query(f"WITH {_FUSED_ALL} SELECT query_id, document_id, chunk_index, rank, round(score, 6) AS score FROM fu WHERE rank <= 6")
-def rrf_fusion_all(spark, d):
-    return ranking.first(_fused_all(spark, d), 6).withColumn("score", F.round("score", 6))
+@query(f"WITH {_FUSED} SELECT query_id, document_id, chunk_index, rank, round(score, 6) AS score FROM fu WHERE rank <= 6")
+def rrf_fusion(spark, d):
+    return ranking.first(_fused(spark, d), 6).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_FUSED_ALL}, s AS (SELECT fu.query_id, fu.document_id, fu.chunk_index, fu.rank AS before, round({_OV}, 6) AS score FROM fu JOIN b q ON q.query_id = fu.query_id JOIN documents c ON c.doc_id = fu.chunk_index WHERE rank <= 6)
+@query(f"""WITH {_FUSED}, s AS (SELECT fu.query_id, fu.document_id, fu.chunk_index, fu.rank AS before, round({_OV}, 6) AS score FROM fu JOIN b q ON q.query_id = fu.query_id JOIN documents c ON c.doc_id = fu.chunk_index WHERE rank <= 6)
 SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS BIGINT) AS rank, score FROM s
 UNION ALL SELECT query_id, document_id, chunk_index, rank, round(score, 6) FROM fu WHERE rank > 6""")
-def rerank_overlap_all(spark, d):
-    out = ranking.rerank(_fused_all(spark, d), _asked(spark, d), _chunks(spark, d), keep_rest=True)
+def rerank_overlap(spark, d):
+    out = ranking.rerank(_fused(spark, d), _asked(spark, d), _chunks(spark, d), keep_rest=True)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -324,51 +271,31 @@ def relevant_chunks(spark, d):
     return _gold(spark, d)
 
 
-@query(rf"""WITH {_BM25}, {_GOLD}, r AS (SELECT bm.*, gold.query_id IS NOT NULL AS rel FROM bm LEFT JOIN gold ON gold.query_id = bm.query_id AND gold.document_id = bm.document_id AND gold.chunk_index = bm.chunk_index WHERE bm.document_id = 'en'),
-g AS (SELECT query_id, count(*) AS gold FROM gold WHERE document_id = 'en' GROUP BY 1),
-a AS (SELECT item_id AS query_id, coalesce(any_value(gold), 0) AS gold, count(*) FILTER (rel AND rank <= 3) AS h3, count(*) FILTER (rel AND rank <= 10) AS h10, count(*) FILTER (rank <= 3) AS n3, min(rank) FILTER (rel) AS fst,
- coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 3), 0) AS g3, coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) AS g10 FROM benchmark LEFT JOIN r ON r.query_id = item_id LEFT JOIN g ON g.query_id = item_id GROUP BY item_id)
-SELECT query_id, round(CASE WHEN gold > 0 THEN h3 / CAST(gold AS DOUBLE) ELSE 0 END, 6) AS recall_3, round(CASE WHEN gold > 0 THEN h10 / CAST(gold AS DOUBLE) ELSE 0 END, 6) AS recall_10, round(CASE WHEN n3 > 0 THEN h3 / CAST(n3 AS DOUBLE) ELSE 0 END, 6) AS precision_3, round(coalesce(1.0::DOUBLE / fst, 0), 6) AS mrr,
- round(CASE WHEN gold > 0 THEN g3 / list_sum(list_transform(range(1, least(3, gold) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_3, round(CASE WHEN gold > 0 THEN g10 / list_sum(list_transform(range(1, least(10, gold) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_10 FROM a""")
-def recall_precision_ndcg(spark, d):
-    en = _chunks(spark, d).filter("document_id = 'en'")
-    return evaluation.ranking_metrics(ranking.bm25(_queries(spark, d), en, 10), _gold(spark, d).filter("document_id = 'en'"), _queries(spark, d))
-
-
-@query(f"""WITH {_BM25}, {_GOLD}, r AS (SELECT bm.*, gold.query_id IS NOT NULL AS rel FROM bm LEFT JOIN gold ON gold.query_id = bm.query_id AND gold.document_id = bm.document_id AND gold.chunk_index = bm.chunk_index WHERE bm.document_id = 'en'),
-a AS (SELECT item_id AS query_id, min(rank) FILTER (rel) AS fst, coalesce(bool_or(rank <= 3 AND r.chunk_index % 7 = item_id % 7), FALSE) AS p FROM benchmark LEFT JOIN r ON r.query_id = item_id GROUP BY 1)
-SELECT query_id, CAST(coalesce(fst <= 1, FALSE) AS BIGINT) AS hit_1, CAST(coalesce(fst <= 3, FALSE) AS BIGINT) AS hit_3, CAST(coalesce(fst <= 10, FALSE) AS BIGINT) AS hit_10, round(coalesce(1.0::DOUBLE / fst, 0), 6) AS mrr, CAST(p AS BIGINT) AS page_hit_3 FROM a""")
-def hit_mrr_pagehit(spark, d):
-    en = _chunks(spark, d).filter("document_id = 'en'")
-    j = evaluation.judged(ranking.bm25(_queries(spark, d), en, 10), _gold(spark, d)).withColumn("page", F.col("chunk_index") % 7)
-    return evaluation.hit_metrics(j, _queries(spark, d).withColumn("pages", F.array(F.col("query_id") % 7)))
-
-
-_JUDGED_ALL = f"""{_BM25}, {_GOLD}, {_ASKED},
+_JUDGED = f"""{_BM25}, {_GOLD}, {_ASKED},
 r AS (SELECT bm.query_id || ':' || bm.document_id AS query_id, bm.chunk_index, bm.rank, gold.query_id IS NOT NULL AS rel FROM bm LEFT JOIN gold ON gold.query_id = bm.query_id AND gold.document_id = bm.document_id AND gold.chunk_index = bm.chunk_index)"""
 
 
-def _gold_all(spark, d):
+def _gold_of_asked(spark, d):
     return _gold(spark, d).withColumn("query_id", F.concat_ws(":", "query_id", "document_id"))
 
 
-@query(rf"""WITH {_JUDGED_ALL},
+@query(rf"""WITH {_JUDGED},
 g AS (SELECT query_id || ':' || document_id AS query_id, count(*) AS gold FROM gold GROUP BY 1),
 a AS (SELECT b.query_id, coalesce(any_value(gold), 0) AS gold, count(*) FILTER (rel AND rank <= 3) AS h3, count(*) FILTER (rel AND rank <= 10) AS h10, count(*) FILTER (rank <= 3) AS n3, min(rank) FILTER (rel) AS fst,
  coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 3), 0) AS g3, coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) AS g10 FROM b LEFT JOIN r ON r.query_id = b.query_id LEFT JOIN g ON g.query_id = b.query_id GROUP BY b.query_id)
 SELECT query_id, round(CASE WHEN gold > 0 THEN h3 / CAST(gold AS DOUBLE) ELSE 0 END, 6) AS recall_3, round(CASE WHEN gold > 0 THEN h10 / CAST(gold AS DOUBLE) ELSE 0 END, 6) AS recall_10, round(CASE WHEN n3 > 0 THEN h3 / CAST(n3 AS DOUBLE) ELSE 0 END, 6) AS precision_3, round(coalesce(1.0::DOUBLE / fst, 0), 6) AS mrr,
  round(CASE WHEN gold > 0 THEN g3 / list_sum(list_transform(range(1, least(3, gold) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_3, round(CASE WHEN gold > 0 THEN g10 / list_sum(list_transform(range(1, least(10, gold) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg_10 FROM a""")
-def recall_precision_ndcg_all(spark, d):
+def recall_precision_ndcg(spark, d):
     asked = _asked(spark, d)
-    return evaluation.ranking_metrics(ranking.bm25(asked, _chunks(spark, d), 10), _gold_all(spark, d), asked)
+    return evaluation.ranking_metrics(ranking.bm25(asked, _chunks(spark, d), 10), _gold_of_asked(spark, d), asked)
 
 
-@query(f"""WITH {_JUDGED_ALL},
+@query(f"""WITH {_JUDGED},
 a AS (SELECT b.query_id, min(rank) FILTER (rel) AS fst, coalesce(bool_or(rank <= 3 AND r.chunk_index % 7 = item_id % 7), FALSE) AS p FROM b LEFT JOIN r ON r.query_id = b.query_id GROUP BY 1)
 SELECT query_id, CAST(coalesce(fst <= 1, FALSE) AS BIGINT) AS hit_1, CAST(coalesce(fst <= 3, FALSE) AS BIGINT) AS hit_3, CAST(coalesce(fst <= 10, FALSE) AS BIGINT) AS hit_10, round(coalesce(1.0::DOUBLE / fst, 0), 6) AS mrr, CAST(p AS BIGINT) AS page_hit_3 FROM a""")
-def hit_mrr_pagehit_all(spark, d):
+def hit_mrr_pagehit(spark, d):
     asked = _asked(spark, d)
-    j = evaluation.judged(ranking.bm25(asked, _chunks(spark, d), 10), _gold_all(spark, d)).withColumn("page", F.col("chunk_index") % 7)
+    j = evaluation.judged(ranking.bm25(asked, _chunks(spark, d), 10), _gold_of_asked(spark, d)).withColumn("page", F.col("chunk_index") % 7)
     item = F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long")
     return evaluation.hit_metrics(j, asked.withColumn("pages", F.array(item % 7)))
 
