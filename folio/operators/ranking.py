@@ -19,8 +19,8 @@ def _top(rows: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("query_
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-#: Distinct terms that queries may ask for while they are broadcast, and queries with vectors: both a few dozen MB at most. Beyond, joins shuffle.
-BROADCAST_TERMS, BROADCAST_QUERIES = 1 << 20, 1 << 16
+#: Distinct terms that queries may ask for while they are broadcast, weights of terms, and queries with vectors: each a few dozen MB at most. Beyond, joins shuffle.
+BROADCAST_TERMS, BROADCAST_WEIGHTS, BROADCAST_QUERIES = 1 << 20, 1 << 18, 1 << 16
 
 
 def few(rows: DataFrame, limit: int) -> DataFrame:
@@ -30,11 +30,14 @@ def few(rows: DataFrame, limit: int) -> DataFrame:
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """document_id, chunk_index, term, tf, length: of all terms, or those in terms only, which then go before anything is shuffled."""
-    t = chunks.select("document_id", "chunk_index", bm25_tokens(F.col("text")).alias("tokens"))
-    rows = t.select("document_id", "chunk_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(few(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
-    return rows.groupBy("document_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf"))
+    t = chunks.select("document_id", "chunk_index", F.sort_array(bm25_tokens(F.col("text"))).alias("tokens"))
+    n = F.size("tokens")
+    # equal tokens lie side by side: a term counts from its first place to that of the next, so no row leaves its task
+    firsts = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)), lambda i: (i == 1) | (F.get("tokens", i - 1) != F.get("tokens", i - 2)))
+    t = t.select("document_id", "chunk_index", n.alias("length"), "tokens", firsts.alias("firsts"))
+    counted = F.transform("firsts", lambda i, no: F.struct(F.get("tokens", i - 1).alias("term"), (F.coalesce(F.get("firsts", no + 1), F.col("length") + 1) - i).cast("long").alias("tf")))
+    rows = t.select("document_id", "chunk_index", "length", F.inline(counted))
+    return rows if terms is None else rows.join(few(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
 
 
 def document_stats(chunks: DataFrame) -> DataFrame:
@@ -92,12 +95,20 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, drop_zero: bool = F
 
 def _bm25(terms: DataFrame, posted: DataFrame, stats: DataFrame, chunks: DataFrame, k: int, drop_zero: bool) -> DataFrame:
     """See bm25; posted holds the queries' terms only."""
-    hits = posted.join(few(terms, BROADCAST_TERMS), [c for c in ("document_id", "term") if c in terms.columns])
-    df = term_stats(posted)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = term_stats(posted).join(stats, "document_id").select("document_id", "term", idf.alias("idf"), "avg_length")
+    weights = known.join(few(terms, BROADCAST_TERMS), [c for c in ("document_id", "term") if c in terms.columns])
+    weights = weights.select("query_id", "document_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "avg_length")
+    table = weights.limit(BROADCAST_WEIGHTS + 1).toArrow()
+    if table.num_rows <= BROADCAST_WEIGHTS:
+        # a chunk's postings meet in one task and stay there until its scores are whole and the k best of the task are known
+        local = posted.sparkSession.createDataFrame(table, weights.schema)
+        hits = posted.repartition("document_id", "chunk_index").join(F.broadcast(local), ["document_id", "term"])
+    else:
+        hits = posted.join(weights, ["document_id", "term"])
     norm = F.when(F.col("avg_length") > 0, 1 - B + B * F.col("length") / F.col("avg_length")).otherwise(F.lit(1.0))
-    part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    scored = hits.join(df, ["document_id", "term"]).join(stats, "document_id").groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
+    scored = hits.groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum(part), DIGITS).alias("score"))
     best = _top(scored, k, F.desc("score"), F.col("chunk_index"))
     if drop_zero:
         return best.select("query_id", "document_id", "chunk_index", "rank", "score")
