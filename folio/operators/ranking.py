@@ -5,8 +5,10 @@ Chunks are rows (document_id, chunk_index, ..., text); a ranking is rows (query_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import bm25_tokens
 
@@ -46,6 +48,12 @@ def document_stats(chunks: DataFrame) -> DataFrame:
     return t.groupBy("document_id").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
+def term_counts(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """document_id, term, df of the terms asked for, straight from the texts: without places and frequencies this costs less than postings."""
+    t = chunks.select("document_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
+    return term_stats(t.join(few(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi"))
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("document_id", "term").agg(F.count("*").alias("df"))
 
@@ -73,7 +81,7 @@ class Index:
     def bm25(self, queries: DataFrame, k: int = 10, drop_zero: bool = False) -> DataFrame:
         terms = query_terms(queries)
         posted = self._read("postings").join(few(terms.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
-        return _bm25(terms, posted, self._read("stats"), self._read("places"), k, drop_zero)
+        return _bm25(terms, posted, term_stats(posted), self._read("stats"), self._read("places"), k, drop_zero)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -90,26 +98,39 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 10, drop_zero: bool = F
     k - m misses, and among the first 2k chunks of a document there are that many.
     """
     terms = query_terms(queries)
-    return _bm25(terms, postings(chunks, terms), document_stats(chunks), chunks.select("document_id", "chunk_index"), k, drop_zero)
+    return _bm25(terms, postings(chunks, terms), term_counts(chunks, terms), document_stats(chunks), chunks.select("document_id", "chunk_index"), k, drop_zero)
+
+
+def _numbered(spark: SparkSession, table: pa.Table, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of table with query_no in place of query_id, and query_no, query_id of each query; both as rows of the plan."""
+    codes = table["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    numbered = table.set_column(table.column_names.index("query_id"), "query_no", codes.indices.cast(pa.int32()))
+    names = pa.table({"query_no": pa.array(range(len(codes.dictionary)), pa.int32()), "query_id": codes.dictionary})
+    number = StructField("query_no", IntegerType())
+    return (spark.createDataFrame(numbered, StructType([number if f.name == "query_id" else f for f in schema])),
+            spark.createDataFrame(names, StructType([number, schema["query_id"]])))
 
 
-def _bm25(terms: DataFrame, posted: DataFrame, stats: DataFrame, chunks: DataFrame, k: int, drop_zero: bool) -> DataFrame:
+def _bm25(terms: DataFrame, posted: DataFrame, counts: DataFrame, stats: DataFrame, chunks: DataFrame, k: int, drop_zero: bool) -> DataFrame:
     """See bm25; posted holds the queries' terms only."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = term_stats(posted).join(stats, "document_id").select("document_id", "term", idf.alias("idf"), "avg_length")
+    known = counts.join(stats, "document_id").select("document_id", "term", idf.alias("idf"), "avg_length")
     weights = known.join(few(terms, BROADCAST_TERMS), [c for c in ("document_id", "term") if c in terms.columns])
     weights = weights.select("query_id", "document_id", "term", (F.col("times") * F.col("idf")).alias("weight"), "avg_length")
     table = weights.limit(BROADCAST_WEIGHTS + 1).toArrow()
+    key = "query_id"
     if table.num_rows <= BROADCAST_WEIGHTS:
-        # a chunk's postings meet in one task and stay there until its scores are whole and the k best of the task are known
-        local = posted.sparkSession.createDataFrame(table, weights.schema)
-        hits = posted.repartition("document_id", "chunk_index").join(F.broadcast(local), ["document_id", "term"])
+        # a chunk's postings meet in one task and stay there until its scores are whole and the k best of the task are known; queries go by number
+        local, names = _numbered(posted.sparkSession, table, weights.schema)
+        hits, key = posted.repartition("document_id", "chunk_index").join(F.broadcast(local), ["document_id", "term"]), "query_no"
     else:
         hits = posted.join(weights, ["document_id", "term"])
     norm = F.when(F.col("avg_length") > 0, 1 - B + B * F.col("length") / F.col("avg_length")).otherwise(F.lit(1.0))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    scored = hits.groupBy("query_id", "document_id", "chunk_index").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    best = _top(scored, k, F.desc("score"), F.col("chunk_index"))
+    scored = hits.groupBy(key, "document_id", "chunk_index").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    best = _top(scored, k, F.desc("score"), F.col("chunk_index"), by=(key, "document_id"))
+    if key != "query_id":
+        best = best.join(F.broadcast(names), key).drop(key)
     if drop_zero:
         return best.select("query_id", "document_id", "chunk_index", "rank", "score")
     first = _top(chunks.select("document_id", "chunk_index"), 2 * k, F.col("chunk_index"), by=("document_id",)).select("document_id", "chunk_index")

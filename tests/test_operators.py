@@ -213,3 +213,16 @@ def test_phrases_of_every_length_are_found(spark, monkeypatch):
     for short in (256, 0):
         monkeypatch.setattr(evaluation, "SHORT", short)
         assert {(r["query_id"], r["chunk_index"]) for r in evaluation.relevant_chunks(q, chunks).collect()} == {(1, 0), (1, 1), (2, 0), (3, 2)}
+
+
+def test_keyword_search_does_not_depend_on_the_broadcast(spark, monkeypatch):
+    """Repeated terms and queries, null and empty texts, null ids, empty tables: the same rows whichever way weights reach the postings."""
+    chunks = spark.createDataFrame([("a", 0, "The cat the CAT"), ("a", 1, None), ("a", 2, ""), ("b", 0, "dog cat"), (None, 1, "cat")], "document_id string, chunk_index long, text string")
+    asked = spark.createDataFrame([(1, "cat the the"), (2, "zebra"), (3, None), (None, "dog")], "query_id long, text string")
+    assert {(r["document_id"], r["chunk_index"], r["length"], r["term"], r["tf"]) for r in ranking.postings(chunks).collect()} == {("a", 0, 4, "cat", 2), ("a", 0, 4, "the", 2), ("b", 0, 2, "cat", 1), ("b", 0, 2, "dog", 1), (None, 1, 1, "cat", 1)}
+    found = sorted(map(repr, ranking.bm25(asked, chunks, 3).collect()))
+    monkeypatch.setattr(ranking, "BROADCAST_WEIGHTS", 0)
+    assert sorted(map(repr, ranking.bm25(asked, chunks, 3).collect())) == found and len(found) == 15
+    for limit in (0, 1 << 18):
+        monkeypatch.setattr(ranking, "BROADCAST_WEIGHTS", limit)
+        assert ranking.bm25(asked.limit(0), chunks, 3).count() == 0 and ranking.bm25(asked, chunks.limit(0), 3).count() == 0
