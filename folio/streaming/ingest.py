@@ -73,8 +73,11 @@ def status(asked: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ready_summary(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """document_id, pages (the largest page number present), chunks, ocr_pages, ocr_quality."""
-    p = pages.groupBy("document_id").agg(F.max("page").alias("pages"), F.count_if(F.coalesce(F.col("ocr"), F.lit(False))).alias("ocr_pages"), F.avg("ocr_confidence").alias("c"))
+    """document_id, pages (the largest page number present), chunks, ocr_pages, ocr_quality.
+
+    The mean confidence is rounded before it is judged: its last digits depend on the order in which pages are added up.
+    """
+    p = pages.groupBy("document_id").agg(F.max("page").alias("pages"), F.count_if(F.coalesce(F.col("ocr"), F.lit(False))).alias("ocr_pages"), F.round(F.avg("ocr_confidence"), 9).alias("c"))
     n = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
     quality = F.when(F.col("c") < 0.9, "low").when(F.col("c").isNotNull(), "good")
     return p.join(n, "document_id", "left").select("document_id", "pages", F.coalesce("chunks", F.lit(0)).alias("chunks"), "ocr_pages", quality.alias("ocr_quality"))

@@ -226,3 +226,9 @@ def test_keyword_search_does_not_depend_on_the_broadcast(spark, monkeypatch):
     for limit in (0, 1 << 18):
         monkeypatch.setattr(ranking, "BROADCAST_WEIGHTS", limit)
         assert ranking.bm25(asked.limit(0), chunks, 3).count() == 0 and ranking.bm25(asked, chunks.limit(0), 3).count() == 0
+
+
+def test_mean_confidence_is_judged_apart_from_its_last_digits(spark):
+    pages = spark.createDataFrame([("d", p, True, 0.8 + 0.02 * (p % 10)) for p in (9, 4, 14, 24, 1, 8, 11, 18, 6)], "document_id string, page int, ocr boolean, ocr_confidence double")
+    chunks = spark.createDataFrame([], "document_id string, chunk_index int")
+    assert ingest.ready_summary(pages.coalesce(1), chunks).first()["ocr_quality"] == "good"
